@@ -33,7 +33,7 @@ SELECT {_IID}, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'HOST' || CAST(c_cust
   CASE c_custkey % 6 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 5 THEN 8 ELSE 3 END AS engine_edition,
   CAST(10 + c_nationkey % 8 AS STRING) || CASE WHEN c_nationkey % 8 = 0 AND c_custkey % 2 = 0 THEN '.50.' ELSE '.0.' END
     || CAST(2000 + (c_custkey * 37) % 6000 AS STRING) || '.' || CAST(c_custkey % 9 AS STRING) AS product_version,
-  CASE WHEN c_custkey % 4 = 0 THEN 'C:' ELSE 'D:' END || chr(92) || 'Data' AS data_path,
+  CASE WHEN c_custkey % 6 = 1 THEN 'C:' ELSE 'D:' END || chr(92) || 'Data' AS data_path,
   CASE WHEN c_custkey % 5 = 0 THEN 'C:' ELSE 'L:' END || chr(92) || 'Log' AS log_path,
   CASE WHEN c_custkey % 7 = 0 THEN 'C:' || chr(92) || 'Backup' WHEN c_custkey % 31 = 0 THEN NULL ELSE 'S:' || chr(92) || 'Backup' END AS backup_path,
   CAST(2 + (c_custkey % 8) * 2 AS INTEGER) AS cpu_count, CAST(2 + (c_custkey % 2) * 2 AS INTEGER) AS hyperthread_ratio,
@@ -318,7 +318,7 @@ SELECT instance_id, {_GID}, 'r' || CAST(k AS STRING) || '_' || CAST(n AS STRING)
 SQL["ag_databases"] = f"""
 SELECT instance_id, {_GID}, 'r' || CAST(k AS STRING) || '_' || CAST(n AS STRING) AS replica_id, {_GNAME}, 'NODE' || CAST(CAST(floor(n / 2) AS INTEGER) AS STRING) AS server_instance, 'db_' || CAST(o_orderkey AS STRING) AS database_name,
   'd' || CAST(o_orderkey AS STRING) AS group_database_id, CAST(5 + o_orderkey AS BIGINT) AS database_id, CASE WHEN (o_orderkey + n) % 9 = 0 THEN NULL ELSE 'ONLINE' END AS database_state_desc,
-  CASE (o_orderkey + n) % 4 WHEN 0 THEN NULL WHEN 1 THEN 'SYNCHRONIZING' ELSE 'SYNCHRONIZED' END AS synchronization_state_desc, n < 2 AS is_primary_replica, n < 2 AS is_local, (o_orderkey + n) % 8 <> 0 AS is_database_joined,
+  CASE (o_orderkey + n) % 4 WHEN 0 THEN NULL WHEN 1 THEN 'SYNCHRONIZING' ELSE 'SYNCHRONIZED' END AS synchronization_state_desc, n < 2 AND k % 3 <> 0 AS is_primary_replica, n < 2 AS is_local, (o_orderkey + n) % 8 <> 0 AS is_database_joined,
   CASE WHEN (o_orderkey + n) % 12 = 5 THEN NULL ELSE (o_orderkey + n) % 10 = 0 END AS is_suspended, (o_orderkey + n) % 6 <> 0 AS is_failover_ready, CASE WHEN (o_orderkey + n) % 5 = 0 THEN NULL ELSE (o_orderkey + n) % 8 END AS secondary_lag_seconds
 FROM (SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, o_custkey AS k, o_orderkey, EACH(0,1,2,3,4,5) AS n FROM {{orders}} WHERE o_custkey % 2 = 0 AND o_orderkey % 4 = 1) s WHERE n % 2 = o_orderkey % 2"""
 
@@ -328,7 +328,7 @@ SELECT instance_id, {_GID}, 'l' || CAST(n AS STRING) AS listener_id, {_GNAME}, '
 
 SQL["cluster_members"] = f"""
 SELECT instance_id, 'NODE' || CAST(n AS STRING) AS member_name, CASE WHEN n = 3 THEN 'FILE_SHARE_WITNESS' ELSE 'CLUSTER_NODE' END AS member_type_desc, CASE WHEN (k + n * 5) % 9 = 0 THEN 'DOWN' ELSE 'UP' END AS member_state_desc,
-  CASE WHEN (k + n) % 6 = 0 THEN 0 ELSE 1 END AS number_of_quorum_votes FROM {_AG % '0,1,2,3'} s"""
+  CASE WHEN (k + n) % 3 = 0 THEN 0 ELSE 1 END AS number_of_quorum_votes FROM {_AG % '0,1,2,3'} s"""
 
 SQL["endpoints"] = f"""
 SELECT instance_id, CAST(7 AS BIGINT) AS endpoint_id, 'Hadr_endpoint' AS name, CAST(1 + (k / 2) % 9 AS BIGINT) AS principal_id, 4 AS type, CASE WHEN k % 10 = 0 THEN 'STOPPED' ELSE 'STARTED' END AS state_desc, 'NTLM' AS connection_auth_desc,
@@ -436,20 +436,26 @@ def derived_fleet(t: Tables) -> Fleet:
     return fleet
 
 
+# Names the comparison SQL may use besides the tables: plain SQL of the comparison engine.
+HELPERS: dict[str, str] = {}
+
+
 def with_tables(sql: str) -> str:
-    """The comparison SQL with the derived tables it names put in front."""
-    needed: list[str] = []
-
-    def add(text: str) -> None:
-        for name in SQL:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                add(SQL[name])
-                if name not in needed:
-                    needed.append(name)
-
-    add(sql)
-    views = ",\n".join(f"{n} AS MATERIALIZED ({_duck_text(SQL[n])})" for n in needed)
+    """The comparison SQL with the tables and helpers it names put in front, each before its users."""
+    ready: dict[str, str] = {}
+
+    def words(text: str) -> list[str]:
+        return [n for n in (*HELPERS, *SQL) if re.search(rf"\b{n}\b", text)]
+
+    def add(name: str) -> None:
+        if name in ready:
+            return
+        for other in ([n for n in _MARK.findall(SQL[name]) if n in SQL] if name in SQL else [n for n in words(HELPERS[name]) if n != name]):
+            add(other)
+        ready[name] = _duck_text(SQL[name]) if name in SQL else HELPERS[name]
+
+    for name in words(sql):
+        add(name)
+    views = ",\n".join(f"{n} AS MATERIALIZED ({text.strip()})" for n, text in ready.items())
     body = sql.strip()
-    if not views:
-        return body
-    return f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"
+    return f"WITH {views}\n{body}" if views else body
