@@ -12,13 +12,15 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """The given tables of one scale folder, read lazily by attribute."""
+    """The given tables of one scale folder, read lazily by attribute, each schema looked up once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, df)
+        return df
 
 
 def query(name: str, oracle: str | None = None):

@@ -4,6 +4,8 @@ Times are the instance's local times without zone; security ids are hex strings.
 """
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql.types import StructType
 
 SA_SID = "0x01"
@@ -120,5 +122,6 @@ def ddl(table: str) -> str:
     return "instance_id string, snapshot_ts timestamp_ntz, " + COLUMNS[table]
 
 
+@cache
 def schema_of(table: str) -> StructType:
     return StructType.fromDDL(ddl(table))

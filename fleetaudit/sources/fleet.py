@@ -18,8 +18,12 @@ def align(df: DataFrame, table: str) -> DataFrame:
     """Declared columns in declared types; a column an older collector lacks becomes a typed null,
     so rules on it stay silent."""
     have = {c.lower(): c for c in df.columns}
-    return df.select(*[(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None))
-                       .cast(f.dataType).alias(f.name) for f in schema_of(table).fields])
+
+    def column(name: str, kind: str) -> str:
+        source = f"`{have[name]}`" if name in have else "NULL"
+        return f"CAST({source} AS {kind}) AS {name}"
+
+    return df.selectExpr(*[column(f.name, f.dataType.simpleString()) for f in schema_of(table).fields])
 
 
 def latest_snapshot(df: DataFrame, as_of=None, lookback_days: int | None = None) -> DataFrame:
