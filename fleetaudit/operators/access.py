@@ -11,10 +11,10 @@ def privilege_audit(principals: DataFrame, grants: DataFrame, on: Sequence[tuple
     """Principals that hold a grant, less the exceptions.
 
     ``on`` pairs a principal column with a grant column. Both filters run before the semi join,
-    and only the grant keys are shuffled.
+    and only the distinct grant keys are shuffled.
     """
     held = grants if grant_filter is None else grants.where(grant_filter)
-    held = held.select(*[F.col(g).alias(f"_g{i}") for i, (_, g) in enumerate(on)])
+    held = held.select(*[F.col(g).alias(f"_g{i}") for i, (_, g) in enumerate(on)]).distinct()
     who = principals if exceptions is None else principals.where(~F.coalesce(exceptions, F.lit(False)))
     cond = F.lit(True)
     for i, (p, _) in enumerate(on):

@@ -9,8 +9,12 @@ from ..functions import as_ts, minutes_between
 
 
 def missing_coverage(entities: DataFrame, events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Entities with no event at all. Only the key columns of ``events`` are shuffled."""
-    return entities.join(events.select(*keys), list(keys), "left_anti")
+    """Entities with no event at all.
+
+    The distinct keys of ``events`` are taken first: duplicates meet on the map side, and the join
+    reuses that shuffle, so a key with most of the events travels as one row per task.
+    """
+    return entities.join(events.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def _last(events: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
@@ -64,7 +68,7 @@ def required_set_missing(instances: DataFrame, required: Sequence[dict], present
                               & (F.col("_item.max_version").isNull() | (F.col(version) <= F.col("_item.max_version"))))
     wanted = wanted.select(*owner, *[F.col(f"_item.{n}").alias(n) for n in names])
     on = [*owner, *keys]
-    return wanted.join(present.select(*on), on, "left_anti")
+    return wanted.join(present.select(*on).distinct(), on, "left_anti")
 
 
 def first_event(events: DataFrame, group: Sequence[str], ts: str, before=None) -> DataFrame:

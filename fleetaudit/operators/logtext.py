@@ -47,17 +47,26 @@ def log_extract(log: DataFrame, patterns: Sequence[LogPattern], message: str = "
     return rows.distinct() if distinct else rows
 
 
+# Shape of an event payload: attributes carry an underscore.
+_EVENT = "_timestamp string, data array<struct<_name string, value string, text string>>"
+
+
 def state_changes(events: DataFrame, instances: DataFrame, payload: str = "event_data",
                   object_name: str = "availability_replica_state_change") -> DataFrame:
-    """Time (shifted to the instance's local time), group, previous and current state from XML."""
+    """Time (shifted to the instance's local time), group, previous and current state from XML.
+
+    The payload is parsed once per event; one that is not well-formed gives nulls, not a failed job.
+    Events of instances not listed are left out.
+    """
     def data(name: str, leaf: str):
-        return F.xpath_string(F.col(payload), F.lit(f"/event/data[@name='{name}']/{leaf}"))
+        named = F.filter(F.col("_e.data"), lambda d: d["_name"] == name)
+        return F.try_element_at(named, F.lit(1))[leaf]
 
-    at = F.xpath_string(F.col(payload), F.lit("/event/@timestamp"))
-    utc = F.to_timestamp(F.regexp_replace(F.regexp_replace(at, "T", " "), "Z$", "")).cast("timestamp_ntz")
+    parsed = (events.where(F.col("object_name") == object_name)
+              .select("instance_id", "object_name", F.from_xml(payload, _EVENT).alias("_e")))
+    utc = F.regexp_replace(F.regexp_replace(F.col("_e._timestamp"), "T", " "), "Z$", "").try_cast("timestamp_ntz")
     local = utc + F.make_dt_interval(mins=F.coalesce(F.col("utc_offset_minutes"), F.lit(0)))
-    return (events.where(F.col("object_name") == object_name)
-            .join(instances.select("instance_id", "utc_offset_minutes"), "instance_id", "left")
+    return (parsed.join(instances.select("instance_id", "utc_offset_minutes"), "instance_id")
             .select("instance_id", "object_name", local.alias("event_time"),
                     data("availability_group_name", "value").alias("group_name"),
                     data("previous_state", "text").alias("previous_state"),

@@ -53,15 +53,15 @@ def attributes(f: Facts, ids: tuple[int, ...]) -> DataFrame:
     parts.append(rule_scan(f.instances, [RowRule(i, known if i == 103 else F.lit(True), object=c) for i, c in columns.items()]))
 
     if 106 in ids:
-        line = f.only(f.first_log_line("Logging SQL Server messages in file"), "collected_as_sysadmin")
-        parts.append(raw(line, 106, None, F.regexp_extract("message", r"(?i)Logging SQL Server messages in file '(.*?)'\.", 1)))
+        line = f.only(f.log_facts.where("log_file_line IS NOT NULL"), "collected_as_sysadmin")
+        parts.append(raw(line, 106, None, F.regexp_extract("log_file_line", r"(?i)Logging SQL Server messages in file '(.*?)'\.", 1)))
     if 115 in ids:
-        line = f.first_log_line("Copyright")
-        parts.append(raw(line, 115, None, F.expr("substring(message, locate('Windows', message))")))
+        line = f.log_facts.where("version_line IS NOT NULL")
+        parts.append(raw(line, 115, None, F.expr("substring(version_line, locate('Windows', version_line))")))
     if 120 in ids:
-        line = f.first_log_line("System Manufacturer:")
+        line = f.log_facts.where("maker_line IS NOT NULL")
         pattern = r"(?i)System Manufacturer: '(.*?)', System Model: '(.*?)'\."
-        parts.append(raw(line, 120, None, F.concat_ws(": ", F.regexp_extract("message", pattern, 1), F.regexp_extract("message", pattern, 2))))
+        parts.append(raw(line, 120, None, F.concat_ws(": ", F.regexp_extract("maker_line", pattern, 1), F.regexp_extract("maker_line", pattern, 2))))
     if 116 in ids:
         parts.append(raw(f.services.where(fold("servicename").startswith("sql server (")), 116, None, "service_account"))
     if 117 in ids:

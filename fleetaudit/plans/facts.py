@@ -6,7 +6,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import as_ts, fold, parent_location, percent_of
-from ..operators import LogPattern, eligible_databases, log_extract, next_event_pairing, scope, state_changes, version_columns
+from ..operators import LogPattern, eligible_databases, log_extract, pairing_summary, scope, state_changes, version_columns
 from ..operators.scope import LAST_SYSTEM_ID, MANAGED_EDITION, NOT_AVAILABLE_STATES, TEMPDB_ID
 from ..params import AuditParams
 from ..schemas import SA_SID
@@ -103,34 +103,36 @@ class Facts:
 
         One aggregate over the backup sets serves five checks.
         """
-        server = self.instances.select("instance_id", "server_name_prop")
         sets = (scope(self.fleet["backup_sets"], database_name=self.params.database_name)
-                .where(F.col("backup_finish_date").isNotNull())
-                .join(server, "instance_id")
-                .where(F.coalesce(fold("server_name"), fold("server_name_prop")) == fold("server_name_prop")))
+                .where(F.col("backup_finish_date").isNotNull()))
 
         def last(kind: str) -> Column:
             return F.max(F.when(F.col("type") == kind, F.col("backup_start_date")))
 
-        per_db = sets.groupBy("instance_id", fold("database_name").alias("db_key")).agg(
-            last("D").alias("last_full"), last("L").alias("last_log"), F.max("backup_start_date").alias("last_any"))
+        # The history shrinks to a few rows per database before it meets the instances.
+        per_server = sets.groupBy("instance_id", fold("database_name").alias("db_key"), fold("server_name").alias("server_key")).agg(
+            last("D").alias("full"), last("L").alias("log"), F.max("backup_start_date").alias("any"))
+        own = self.instances.select("instance_id", fold("server_name_prop").alias("own_key"))
+        per_db = (per_server.join(own, "instance_id").where(F.coalesce("server_key", "own_key") == F.col("own_key"))
+                  .groupBy("instance_id", "db_key").agg(F.max("full").alias("last_full"), F.max("log").alias("last_log"),
+                                                        F.max("any").alias("last_any")))
         return self.eligible.join(per_db, ["instance_id", "db_key"], "left")
 
     @cached_property
     def history(self) -> DataFrame:
         """Backup files of the date range, on databases that exist and are available."""
         p = self.params
+        # The server's name joins to the databases, not to the many sets.
         there = (self.databases.where((F.col("database_id") != TEMPDB_ID) & ~F.col("state").isin(*NOT_AVAILABLE_STATES)
                                       & ~F.col("is_in_standby") & F.col("source_database_id").isNull())
-                 .select("instance_id", "db_key", "database_id", F.col("name").alias("current_name")))
+                 .join(self.instances.select("instance_id", fold("server_name_prop").alias("server_key")), "instance_id")
+                 .select("instance_id", "db_key", "server_key", "database_id", F.col("name").alias("current_name")))
         sets = (scope(self.fleet["backup_sets"], database_name=p.database_name, is_copy_only=p.show_copy_only)
                 .where((F.col("backup_start_date") >= p.range_start) & (F.col("backup_start_date") <= p.range_end))
-                .withColumn("db_key", fold("database_name"))
-                .join(self.instances.select("instance_id", "server_name_prop"), "instance_id")
-                .where(fold("server_name") == fold("server_name_prop")).drop("snapshot_ts"))
+                .withColumn("db_key", fold("database_name")).withColumn("server_key", fold("server_name")).drop("snapshot_ts"))
         media = self.fleet["backup_media"].drop("snapshot_ts").withColumn(
             "device_text", text_for(F.col("device_type"), DEVICE_TYPES, "UNKNOWN"))
-        return (sets.join(there, ["instance_id", "db_key"])
+        return (sets.join(there, ["instance_id", "db_key", "server_key"])
                 .join(scope(media, device_text=p.device_type), ["instance_id", "media_set_id"]))
 
     @cached_property
@@ -245,8 +247,8 @@ class Facts:
     def state_changes(self) -> DataFrame:
         """Replica state changes of instances whose health session is present."""
         on = self.fleet["xe_sessions"].where(fold("name") == "alwayson_health").select("instance_id").distinct()
-        events = self.fleet["xe_events"].join(on, "instance_id", "left_semi")
-        return self._group_scope(state_changes(events, self.fleet["instances"]))
+        listed = self.fleet["instances"].join(on, "instance_id", "left_semi")
+        return self._group_scope(state_changes(self.fleet["xe_events"], listed))
 
     # Files, tempdb, log --------------------------------------------------------------------
 
@@ -279,23 +281,33 @@ class Facts:
 
     @cached_property
     def freezes(self) -> DataFrame:
-        """Freeze lines with the next resume line of the same database."""
+        """Number and average duration of freezes per database: each freeze line with the next resume line."""
         # The name ends at a period before a space or the end, as names may hold periods.
         tail = r" database\s+(.*?)\s*\.(?:\s.*)?$"
         events = log_extract(self.fleet["error_log"], [
             LogPattern("frozen", "I/O is frozen on database", r"^I/O is frozen on" + tail, ("database_name",)),
             LogPattern("resumed", "I/O was resumed on database", r"^I/O was resumed on" + tail, ("database_name",))])
-        return next_event_pairing(events.withColumn("db_key", fold("database_name")), ["instance_id", "db_key"], "log_date",
-                                  F.col("kind") == "frozen", F.col("kind") == "resumed", bucket="6 hours")
+        return pairing_summary(events.withColumn("db_key", fold("database_name")), ["instance_id", "db_key"], "log_date",
+                               F.col("kind") == "frozen", F.col("kind") == "resumed", bucket="1 hour")
 
     @cached_property
     def sa(self) -> Column:
         return F.lit(SA_SID)
 
-    def first_log_line(self, contains: str) -> DataFrame:
-        """Earliest log line with a text, per instance."""
-        return (self.fleet["error_log"].where(fold("message").contains(contains.lower()))
-                .groupBy("instance_id").agg(F.min_by("message", F.struct("log_date", "message")).alias("message")))
+    @cached_property
+    def log_facts(self) -> DataFrame:
+        """What single lines of the error log say about an instance, from one scan: the earliest line of
+        three kinds, the number of failed logins, and whether files are initialized instantly."""
+        text = fold("message")
+
+        def first(contains: str) -> Column:
+            line = F.when(text.contains(contains.lower()), F.col("message"))
+            return F.min_by(line, F.when(line.isNotNull(), F.struct("log_date", "message")))
+
+        return self.fleet["error_log"].groupBy("instance_id").agg(
+            first("Logging SQL Server messages in file").alias("log_file_line"), first("Copyright").alias("version_line"),
+            first("System Manufacturer:").alias("maker_line"), F.count_if(text.contains("login failed")).alias("failed_logins"),
+            F.bool_or(text.startswith("database instant file initialization: enabled")).alias("instant_init"))
 
     def within(self, expiry: str) -> Column:
         """Expiry limit when one is set, else always true."""

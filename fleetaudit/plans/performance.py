@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fold
-from ..operators import (RowRule, SettingRule, conditional_sum_compare, group_threshold, pairing_summary,
+from ..operators import (RowRule, SettingRule, conditional_sum_compare, group_threshold,
                          required_set_missing, rule_scan, settings_rules)
 from ..operators.scope import TEMPDB_ID
 from .facts import Facts, raw, text_for, union
@@ -15,7 +15,6 @@ HIGH_PERFORMANCE = "8c5e7fda-e8bf-4a96-9a85-a6e23a8c635c"
 POWER_PLANS = {"a1841308-3541-4fab-bc81-f71556f20b4a": "power saving", "381b4222-f694-41f0-9685-ff5bb260df2e": "balanced power"}
 KNOWN_SESSIONS = ("alwayson_health", "system_health", "telemetry_xevents", "sp_server_diagnostics",
                   "sp_server_diagnostics session", "hkenginexesession")
-IFI_LINE = "Database Instant File Initialization: enabled"
 
 
 def settings(f: Facts) -> DataFrame:
@@ -122,10 +121,8 @@ def power_plan(f: Facts) -> DataFrame:
 def instant_initialization(f: Facts) -> DataFrame:
     """725: off by the service's own flag, or, where that is not exported, by the lack of the log line."""
     engine = f.services.where(F.col("kind") == "engine").select("instance_id", "instant_file_initialization_enabled")
-    logged = f.fleet["error_log"].groupBy("instance_id").agg(
-        F.bool_or(F.col("message").ilike(f"{IFI_LINE}%")).alias("logged"))
-    rows = engine.join(logged, "instance_id", "left")
-    flag = F.coalesce("instant_file_initialization_enabled", F.when(F.col("logged"), "Y").when(~F.col("logged"), "N"))
+    rows = engine.join(f.log_facts.select("instance_id", "instant_init"), "instance_id", "left")
+    flag = F.coalesce("instant_file_initialization_enabled", F.when(F.col("instant_init"), "Y").when(~F.col("instant_init"), "N"))
     return raw(rows.where(flag == "N"), 725)
 
 
@@ -175,8 +172,7 @@ def features(f: Facts) -> DataFrame:
 
 def freezes(f: Facts) -> DataFrame:
     """739: frozen I/O per database: number and average milliseconds."""
-    per = pairing_summary(f.freezes, ["instance_id", "db_key"])
-    return raw(per, 739, "db_key", F.concat_ws(" ", "pairs", F.lit("freezes")), "avg_ms")
+    return raw(f.freezes, 739, "db_key", F.concat_ws(" ", "pairs", F.lit("freezes")), "avg_ms")
 
 
 def backup_profile(f: Facts) -> list[DataFrame]:

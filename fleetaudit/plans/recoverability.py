@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import as_ts, fold, minutes_between
-from ..operators import LogPattern, RowRule, SettingRule, chain_report, first_event, log_extract, rule_scan, settings_rules
+from ..operators import LogPattern, RowRule, SettingRule, first_event, group_heterogeneity, log_extract, rule_scan, settings_rules
 from .facts import BACKUP_TYPES, Facts, raw, text_for, union
 
 
@@ -59,9 +59,8 @@ def history_rules(f: Facts) -> DataFrame:
 def split_chains(f: Facts) -> DataFrame:
     """201: backups of one type in more than one location."""
     own = f.backup_locations.where(~F.col("is_copy_only"))
-    group = ["instance_id", "database_name", "type"]
-    counts = chain_report(own, group, "location").where("number_of_paths > 1").select(*group, "number_of_paths").distinct()
-    return raw(counts, 201, "database_name", text_for(F.col("type"), BACKUP_TYPES), "number_of_paths")
+    split = group_heterogeneity(own, ["instance_id", "database_name", "type"], "location", count=True)
+    return raw(split, 201, "database_name", text_for(F.col("type"), BACKUP_TYPES), "distinct_values")
 
 
 def failed_backups(f: Facts, in_range: bool) -> DataFrame:

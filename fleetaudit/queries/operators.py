@@ -212,10 +212,9 @@ FROM events e WHERE event_type = 'error'
 """
 
 
-def _pairs(t: Tables) -> DataFrame:
-    events = t.events.select("user_id", "event_id", "ts", "event_type")
-    return ops.next_event_pairing(events, ["user_id"], "ts", F.col("event_type") == "error",
-                                  F.col("event_type") == "purchase", bucket="6 hours").drop("event_type")
+def _pairing(t: Tables) -> tuple:
+    return (t.events.select("user_id", "event_id", "ts", "event_type"), ["user_id"], "ts",
+            F.col("event_type") == "error", F.col("event_type") == "purchase", "6 hours")
 
 
 @query("o11_pairing_detail", f"""
@@ -223,7 +222,7 @@ SELECT *, (epoch_us(end_at) // 1000) - (epoch_us(ts) // 1000) AS duration_ms FRO
 """)
 def o11_pairing_detail(t: Tables) -> DataFrame:
     """Each error with the user's next purchase."""
-    return _pairs(t)
+    return ops.next_event_pairing(*_pairing(t)).drop("event_type")
 
 
 @query("o11_pairing_summary", f"""
@@ -233,7 +232,7 @@ FROM ({_PAIRS}) WHERE end_at IS NOT NULL GROUP BY user_id
 """)
 def o11_pairing_summary(t: Tables) -> DataFrame:
     """Count and average time to the next purchase per user."""
-    return ops.pairing_summary(_pairs(t), ["user_id"])
+    return ops.pairing_summary(*_pairing(t))
 
 
 @query("o12_log_extract", """
