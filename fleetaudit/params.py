@@ -28,6 +28,7 @@ class AuditParams:
     read_stall_ms: int = 100
     write_stall_ms: int = 100
     certificate_within_days: int | None = None  # unset lists certificates however late they expire
+    stage_facts: bool = False             # write facts that several checks share to the shared folder
 
     def __post_init__(self):
         object.__setattr__(self, "usage_percent", min(self.usage_percent, 100))

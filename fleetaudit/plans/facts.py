@@ -6,6 +6,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import as_ts, fold, parent_location, percent_of
+from ..functions.stage import staged
 from ..operators import LogPattern, eligible_databases, log_extract, pairing_summary, scope, state_changes, version_columns
 from ..operators.scope import LAST_SYSTEM_ID, MANAGED_EDITION, NOT_AVAILABLE_STATES, TEMPDB_ID
 from ..params import AuditParams
@@ -132,8 +133,9 @@ class Facts:
                 .withColumn("db_key", fold("database_name")).withColumn("server_key", fold("server_name")).drop("snapshot_ts"))
         media = self.fleet["backup_media"].drop("snapshot_ts").withColumn(
             "device_text", text_for(F.col("device_type"), DEVICE_TYPES, "UNKNOWN"))
-        return (sets.join(there, ["instance_id", "db_key", "server_key"])
+        rows = (sets.join(there, ["instance_id", "db_key", "server_key"])
                 .join(scope(media, device_text=p.device_type), ["instance_id", "media_set_id"]))
+        return staged(rows, "history") if p.stage_facts else rows
 
     @cached_property
     def backup_locations(self) -> DataFrame:

@@ -5,6 +5,7 @@ shared scans and aggregates of the plans are compared with one plain statement p
 """
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cache
 
 from pyspark.sql import DataFrame, functions as F
@@ -404,8 +405,12 @@ def _statements() -> dict[str, list[str]]:
     return out
 
 
-def facts_of(t: Tables, params: AuditParams = PARAMS) -> Facts:
-    return Facts(derived_fleet(t), params)
+# Derived by a shuffle over the largest tables and read by many checks.
+HISTORY_TABLES = ("backup_sets", "backup_media")
+
+
+def facts_of(t: Tables, params: AuditParams = PARAMS, stage: bool = False) -> Facts:
+    return Facts(derived_fleet(t, HISTORY_TABLES if stage else ()), replace(params, stage_facts=stage))
 
 
 _PLANS = {
@@ -427,7 +432,7 @@ _PLANS = {
 
 for _name, _plan in _PLANS.items():
     def _run(t: Tables, plan=_plan) -> DataFrame:
-        return union(*plan(facts_of(t)))
+        return union(*plan(facts_of(t, stage=plan is recoverability.backup_profile)))
 
     _run.__doc__ = f"Checks: {_name.replace('_', ', ')}."
     query(f"checks_{_name}", with_tables(all_of(*_statements()[_name])))(_run)
@@ -457,7 +462,7 @@ def _profile_sql(profile: str) -> str:
 
 for _profile in _PROFILE_GROUPS:
     def _summary(t: Tables, profile=_profile) -> DataFrame:
-        found = union(*findings_of(profile, facts_of(t)))
+        found = union(*findings_of(profile, facts_of(t, stage=profile in ("backup", "health"))))
         dim = F.broadcast(rule_dimension(t.spark, rules_for(profile)))
         return (found.join(dim, ["check_id", "case_no"]).groupBy("check_id", "category_id", "importance")
                 .agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("instance_id").alias("instances")))

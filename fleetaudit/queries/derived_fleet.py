@@ -8,6 +8,7 @@ line. The same SQL text serves Spark and the comparison engine; three marks diff
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
@@ -423,8 +424,9 @@ def _duck_text(sql: str) -> str:
     return _MARK.sub(r"\1", sql).replace("{{", "{").replace("}}", "}")
 
 
-def derived_fleet(t: Tables) -> Fleet:
-    """Fleet over the given tables; each table is a view that Spark derives when a rule reads it."""
+def derived_fleet(t: Tables, stage: Sequence[str] = ()) -> Fleet:
+    """Fleet over the given tables; each table is a view that Spark derives when a rule reads it, but for
+    those a query reads many times and asks to stage."""
     fleet: Fleet
 
     def read(table: str) -> DataFrame:
@@ -432,7 +434,7 @@ def derived_fleet(t: Tables) -> Fleet:
         names = set(_MARK.findall(sql))
         return t.spark.sql(sql, **{n: fleet[n] if n in SQL else getattr(t, n) for n in names})
 
-    fleet = Fleet(t.spark, read)
+    fleet = Fleet(t.spark, read, stage)
     return fleet
 
 

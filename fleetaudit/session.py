@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -47,6 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    fallback = tempfile.mkdtemp(prefix="fleetaudit-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return _test_folder()
+
+
+@cache
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="fleetaudit-")

@@ -1,12 +1,13 @@
 """Access to the fleet's tables: declared types, one snapshot per instance, lazily read."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import as_ts
+from ..functions.stage import staged
 from ..schemas import COLUMNS, schema_of
 
 # Tables that only grow: a snapshot filter would drop history.
@@ -43,10 +44,13 @@ def latest_snapshot(df: DataFrame, as_of=None, lookback_days: int | None = None)
 
 
 class Fleet:
-    """Fleet tables by name. Each is built once on first use and kept as a lazy DataFrame."""
+    """Fleet tables by name. Each is built once on first use and kept as a lazy DataFrame.
 
-    def __init__(self, spark: SparkSession, reader: Callable[[str], DataFrame | None]):
-        self.spark, self._reader, self._tables = spark, reader, {}
+    Tables named in ``stage`` are costly to derive and are written to the shared folder on first use.
+    """
+
+    def __init__(self, spark: SparkSession, reader: Callable[[str], DataFrame | None], stage: Sequence[str] = ()):
+        self.spark, self._reader, self._stage, self._tables = spark, reader, frozenset(stage), {}
 
     def __getitem__(self, table: str) -> DataFrame:
         if table not in COLUMNS:
@@ -55,7 +59,8 @@ class Fleet:
             df = self._reader(table)
             if df is None:
                 df = self.spark.range(1).where(F.lit(False))  # folds to an empty relation
-            self._tables[table] = align(df, table)
+            df = align(df, table)
+            self._tables[table] = staged(df, table) if table in self._stage else df
         return self._tables[table]
 
     @classmethod
