@@ -12,14 +12,15 @@ def scope(df: DataFrame, start: tuple[str, object] | None = None, end: tuple[str
           remap: dict[str, dict] | None = None, **filters) -> DataFrame:
     """A filter only for each value that is set, so unset ones cost nothing and keep nulls.
 
-    Strings compare without regard to case. ``remap`` translates what users type into stored codes.
+    Names compare without regard to case; ``remap`` translates what users type into stored codes.
     """
     for column, wanted in filters.items():
         if wanted is None:
             continue
         table = (remap or {}).get(column, {})
-        if isinstance(wanted, str):
-            wanted = table.get(wanted, wanted)
+        if isinstance(wanted, str) and wanted in table:
+            df = df.where(F.col(column) == table[wanted])  # a stored code: plain equality reaches the scan
+        elif isinstance(wanted, str):
             df = df.where(fold(column) == wanted.lower())
         elif isinstance(wanted, Iterable):
             df = df.where(F.col(column).isin([table.get(w, w) for w in wanted]))

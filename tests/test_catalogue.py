@@ -47,3 +47,11 @@ def test_every_check_fires_on_the_derived_fleet():
     for statements in _statements().values():
         fired |= {tuple(r) for r in con.execute(with_tables(f"SELECT DISTINCT check_id, case_no FROM ({all_of(*statements)}) x")).fetchall()}
     assert {(r.check_id, r.case_no) for r in BASE} - fired == set()
+
+
+def test_page_of_checks_is_current():
+    from pathlib import Path
+
+    from fleetaudit.plans.pages import checks_page
+
+    assert (Path(__file__).resolve().parents[1] / "docs" / "checks.md").read_text() == checks_page()
