@@ -66,9 +66,8 @@ def credential_dictionary_audit(logins: DataFrame, candidates: Sequence[tuple[st
     tests = [(label, F.lit(word)) for label, word in candidates]
     if own_name:
         tests.append((own_name, F.col(name)))
-    found = F.filter(F.array(*[F.when(fits(word), F.lit(label)) for label, word in tests]),
-                     lambda x: x.isNotNull())
-    return logins.withColumn("weakness", F.explode(found))
+    found = F.array(*[F.when(fits(word), F.lit(label)) for label, word in tests])
+    return logins.withColumn("weakness", F.explode(found)).where(F.col("weakness").isNotNull())
 
 
 def resolve_securable(permissions: DataFrame, securables: DataFrame, keys: Sequence[str],

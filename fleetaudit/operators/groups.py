@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 from ..functions import constant_table
 
@@ -18,14 +19,17 @@ def group_heterogeneity(df: DataFrame, group: Sequence[str], value, members: boo
                         count: bool = False) -> DataFrame:
     """Groups holding more than one distinct non-null value.
 
-    Plain detection compares minimum and maximum, which combine on the map side and need no
-    distinct shuffle; ``count`` asks for the exact number of values as well. ``members`` returns
+    Values of fixed width are compared by minimum and maximum, which combine in a hash aggregate on
+    the map side. Text and structs would make that aggregate sort its input, so there the distinct
+    (group, value) rows are counted; so too where ``count`` asks for the number. ``members`` returns
     the rows of those groups in place of the groups.
     """
     v = _value(value)
-    if count:
+    wide = isinstance(df.select(v).schema[0].dataType, (StringType, BinaryType, StructType))
+    if count or wide:
         mixed = (df.groupBy(*group).agg(F.countDistinct(v).alias("distinct_values"))
                  .where("distinct_values > 1"))
+        mixed = mixed if count else mixed.drop("distinct_values")
     else:
         mixed = (df.groupBy(*group).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
                  .where("_lo <> _hi").drop("_lo", "_hi"))

@@ -39,9 +39,11 @@ def rule_scan(df: DataFrame, rules: Sequence[RowRule], keep: Sequence[str] = ("i
     any_rule = rules[0].when
     for r in rules[1:]:
         any_rule = any_rule | r.when
-    hits = F.filter(F.array(*[F.when(r.when, _hit(r)) for r in rules]), lambda h: h.isNotNull())
+    # Nulls leave after the generator: a filter inside the array would not be compiled.
+    hits = F.array(*[F.when(r.when, _hit(r)) for r in rules])
     return (df.where(any_rule)
             .select(*keep, F.explode(hits).alias("_hit"))
+            .where(F.col("_hit").isNotNull())
             .select(*keep, "_hit.*"))
 
 

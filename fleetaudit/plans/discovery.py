@@ -46,22 +46,23 @@ def _row_attributes(f: Facts) -> dict[int, Column]:
 
 
 def attributes(f: Facts, ids: tuple[int, ...]) -> DataFrame:
-    """The wanted attributes as raw findings: one scan of the instances, and few lines of the log."""
+    """The wanted attributes as raw findings: one scan of the instances and one of the log."""
     parts = []
     columns = {i: c for i, c in _row_attributes(f).items() if i in ids}
     known = F.col("major").isin([n for _, n in VERSION_NAMES])
     parts.append(rule_scan(f.instances, [RowRule(i, known if i == 103 else F.lit(True), object=c) for i, c in columns.items()]))
 
-    if 106 in ids:
-        line = f.only(f.log_facts.where("log_file_line IS NOT NULL"), "collected_as_sysadmin")
-        parts.append(raw(line, 106, None, F.regexp_extract("log_file_line", r"(?i)Logging SQL Server messages in file '(.*?)'\.", 1)))
-    if 115 in ids:
-        line = f.log_facts.where("version_line IS NOT NULL")
-        parts.append(raw(line, 115, None, F.expr("substring(version_line, locate('Windows', version_line))")))
-    if 120 in ids:
-        line = f.log_facts.where("maker_line IS NOT NULL")
-        pattern = r"(?i)System Manufacturer: '(.*?)', System Model: '(.*?)'\."
-        parts.append(raw(line, 120, None, F.concat_ws(": ", F.regexp_extract("maker_line", pattern, 1), F.regexp_extract("maker_line", pattern, 2))))
+    maker = r"(?i)System Manufacturer: '(.*?)', System Model: '(.*?)'\."
+    from_log = {
+        106: (F.col("log_file_line").isNotNull() & F.col("collected_as_sysadmin"),
+              F.regexp_extract("log_file_line", r"(?i)Logging SQL Server messages in file '(.*?)'\.", 1)),
+        115: (F.col("version_line").isNotNull(), F.expr("substring(version_line, locate('Windows', version_line))")),
+        120: (F.col("maker_line").isNotNull(),
+              F.concat_ws(": ", F.regexp_extract("maker_line", maker, 1), F.regexp_extract("maker_line", maker, 2))),
+    }
+    wanted = [RowRule(i, test, object=text) for i, (test, text) in from_log.items() if i in ids]
+    if wanted:
+        parts.append(rule_scan(f.log_facts.join(f.gate.select("instance_id", "collected_as_sysadmin"), "instance_id"), wanted))
     if 116 in ids:
         parts.append(raw(f.services.where(fold("servicename").startswith("sql server (")), 116, None, "service_account"))
     if 117 in ids:

@@ -43,6 +43,10 @@ class Facts:
     def __init__(self, fleet: Fleet, params: AuditParams):
         self.fleet, self.params = fleet, params
 
+    def _shared(self, df: DataFrame, name: str) -> DataFrame:
+        """A fact that several checks start from: written once when the run asks for it."""
+        return staged(df, name) if self.params.stage_facts else df
+
     # Instances -----------------------------------------------------------------------------
 
     @cached_property
@@ -91,8 +95,9 @@ class Facts:
         closed = (self.fleet["ag_databases"].where(F.col("is_local") & ~F.col("is_primary_replica"))
                   .join(self.fleet["ag_replicas"].where("secondary_allow_desc = 'NO'"), ["instance_id", "replica_id"], "left_semi")
                   .select("instance_id", fold("database_name").alias("db_key")))
-        return (self.databases.where((F.col("state") == 0) & F.col("source_database_id").isNull())
-                .join(closed, ["instance_id", "db_key"], "left_anti"))
+        listed = self.databases.where((F.col("state") == 0) & F.col("source_database_id").isNull())
+        return self._shared(listed.select("instance_id", "db_key", "database_id", "name").join(closed, ["instance_id", "db_key"], "left_anti"),
+                            "readable")
 
     @cached_property
     def eligible(self) -> DataFrame:
@@ -135,7 +140,7 @@ class Facts:
             "device_text", text_for(F.col("device_type"), DEVICE_TYPES, "UNKNOWN"))
         rows = (sets.join(there, ["instance_id", "db_key", "server_key"])
                 .join(scope(media, device_text=p.device_type), ["instance_id", "media_set_id"]))
-        return staged(rows, "history") if p.stage_facts else rows
+        return self._shared(rows, "history")
 
     @cached_property
     def backup_locations(self) -> DataFrame:
@@ -306,10 +311,11 @@ class Facts:
             line = F.when(text.contains(contains.lower()), F.col("message"))
             return F.min_by(line, F.when(line.isNotNull(), F.struct("log_date", "message")))
 
-        return self.fleet["error_log"].groupBy("instance_id").agg(
+        per = self.fleet["error_log"].groupBy("instance_id").agg(
             first("Logging SQL Server messages in file").alias("log_file_line"), first("Copyright").alias("version_line"),
             first("System Manufacturer:").alias("maker_line"), F.count_if(text.contains("login failed")).alias("failed_logins"),
             F.bool_or(text.startswith("database instant file initialization: enabled")).alias("instant_init"))
+        return self._shared(per, "log-facts")
 
     def within(self, expiry: str) -> Column:
         """Expiry limit when one is set, else always true."""
