@@ -299,16 +299,16 @@ def o15_privilege_audit(t: Tables) -> DataFrame:
 
 @query("o15_role_members", """
 SELECT m.group_id, r.s_suppkey AS role_id, r.s_name AS role_name, p.s_suppkey AS member_id, p.s_name AS member_name
-FROM (SELECT DISTINCT s_nationkey AS group_id, l_partkey AS role_id, l_suppkey AS member_id
+FROM (SELECT DISTINCT s_nationkey % 3 AS group_id, l_partkey AS role_id, l_suppkey AS member_id
       FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) m
-JOIN supplier r ON r.s_suppkey = m.role_id AND r.s_nationkey = m.group_id
-JOIN supplier p ON p.s_suppkey = m.member_id AND p.s_nationkey = m.group_id WHERE p.s_suppkey <> r.s_suppkey
+JOIN supplier r ON r.s_suppkey = m.role_id AND r.s_nationkey % 3 = m.group_id
+JOIN supplier p ON p.s_suppkey = m.member_id AND p.s_nationkey % 3 = m.group_id WHERE p.s_suppkey <> r.s_suppkey
 """)
 def o15_role_members(t: Tables) -> DataFrame:
     """Role and member names of membership rows, inside each group."""
-    people = t.supplier.select(F.col("s_nationkey").alias("group_id"), F.col("s_suppkey").alias("principal_id"),
+    people = t.supplier.select((F.col("s_nationkey") % 3).alias("group_id"), F.col("s_suppkey").alias("principal_id"),
                                F.col("s_name").alias("name"), F.lit("S").alias("type"))
-    home = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("group_id"))
+    home = t.supplier.select("s_suppkey", (F.col("s_nationkey") % 3).alias("group_id"))
     links = (t.lineitem.select(F.col("l_partkey").alias("role_principal_id"), F.col("l_suppkey").alias("member_principal_id"))
              .distinct().join(home, F.col("member_principal_id") == F.col("s_suppkey")).drop("s_suppkey"))
     return (ops.role_members(people, links, ["group_id"]).where("member_id <> role_id")
