@@ -42,7 +42,9 @@ def backup_detail(files: DataFrame, set_key: Sequence[str], size: str, compresse
     counts = files.groupBy(*set_key).agg(F.count(F.lit(1)).alias("file_count"))
 
     def share(c: str) -> Column:
-        return F.expr(f"CAST({c} AS DECIMAL(20,0)) div (file_count * {bytes_per_unit})")
+        # Sizes that fit a long divide as longs; the decimal division is for the rest.
+        per = f"(file_count * {bytes_per_unit})"
+        return F.expr(f"coalesce(try_cast({c} AS BIGINT) div {per}, CAST({c} AS DECIMAL(20,0)) div {per})")
 
     saved = F.col(size).cast("decimal(20,0)") - F.col(compressed).cast("decimal(20,0)")
     return (files.join(counts, list(set_key))

@@ -277,8 +277,7 @@ class Facts:
     def tempdb_stalls(self) -> DataFrame:
         """Average stall per read and per write of tempdb files, fraction dropped."""
         def average(total: str, count: str) -> Column:
-            ratio = F.col(total).cast("decimal(20,0)") / F.nullif(F.col(count).cast("decimal(20,0)"), F.lit(0))
-            return ratio.cast("long")
+            return F.expr(f"{total} div nullif({count}, 0)")
 
         io = self.fleet["io_stats"].drop("snapshot_ts").where(
             (F.col("database_id") == TEMPDB_ID) & ((F.col("num_of_reads") > 0) | (F.col("num_of_writes") > 0)))

@@ -4,8 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fold
-from ..operators import (RowRule, SettingRule, conditional_sum_compare, group_threshold,
-                         required_set_missing, rule_scan, settings_rules)
+from ..operators import RowRule, SettingRule, required_set_missing, rule_scan, settings_rules
 from ..operators.scope import TEMPDB_ID
 from .facts import Facts, raw, text_for, union
 
@@ -95,17 +94,21 @@ def tempdb_stalls(f: Facts) -> DataFrame:
 
 
 def files(f: Facts) -> DataFrame:
-    """720-723: logs larger than data, growth rates and log counts outside tempdb."""
+    """720-723: logs larger than data, growth rates and log counts outside tempdb; one aggregate per
+    database and one scan of the files."""
     other = f.files.where(F.col("database_id") != TEMPDB_ID)
-    large = conditional_sum_compare(other.where(F.col("database_name").isNotNull()), ["instance_id", "database_name"], "size", F.col("type") == 1, F.col("type") == 0, LARGE_LOG_PAGES)
-    logs = group_threshold(other.where("type_desc = 'LOG'"), ["instance_id", "database_id"],
-                           {"n": F.count("file_id"), "database_name": F.max("database_name")}, "n > 1")
-    db, name, percent = F.col("database_name"), F.col("name"), F.col("is_percent_growth")
-    kinds = F.col("type").isin(0, 1)
-    grown = rule_scan(other, [
-        RowRule(721, kinds & percent, db, name),
-        RowRule(722, kinds & ~percent & F.col("growth").between(1, SMALL_GROWTH_PAGES) & ~F.col("database_id").isin(1, 4), db, name, F.col("growth"))])
-    return union(raw(large, 720, "database_name", None, "first_sum"), grown, raw(logs, 723, "database_name", None, "n"))
+    log, db, name, percent = F.col("type") == 1, F.col("database_name"), F.col("name"), F.col("is_percent_growth")
+    per_db = other.groupBy("instance_id", "database_id", "database_name").agg(
+        F.sum(F.when(log, F.col("size"))).alias("log_pages"), F.sum(F.when(F.col("type") == 0, F.col("size"))).alias("data_pages"),
+        F.count_if(F.col("type_desc") == "LOG").alias("log_files"))
+    pages = F.col("log_pages")
+    sized = rule_scan(per_db, [
+        RowRule(720, db.isNotNull() & (pages > F.col("data_pages")) & (pages > LARGE_LOG_PAGES), db, metric=pages),
+        RowRule(723, F.col("log_files") > 1, db, metric=F.col("log_files"))])
+    grown = rule_scan(other.where(F.col("type").isin(0, 1)), [
+        RowRule(721, percent, db, name),
+        RowRule(722, ~percent & F.col("growth").between(1, SMALL_GROWTH_PAGES) & ~F.col("database_id").isin(1, 4), db, name, F.col("growth"))])
+    return union(sized, grown)
 
 
 def power_plan(f: Facts) -> DataFrame:

@@ -32,7 +32,7 @@ def backup_summary(f: Facts) -> DataFrame:
         "instance_id", "db_key", "backup_set_id", "number_of_files", "latest", F.col("s.type").alias("type"),
         _yes_no("s.is_copy_only").alias("copy_only"), F.col("s.start").alias("start"), F.col("s.finish").alias("finish"),
         seconds_between("s.start", "s.finish").alias("duration_seconds"),
-        F.expr("s.size div 1048576").alias("size_mb"), parent_location("s.physical_device_name", "s.device_text").alias("path"),
+        F.expr("coalesce(try_cast(s.size AS BIGINT) div 1048576, s.size div 1048576)").alias("size_mb"), parent_location("s.physical_device_name", "s.device_text").alias("path"),
         F.col("s.device_text").alias("device_type"))
     payload = ["copy_only", "start", "finish", "duration_seconds", "size_mb", "path", "number_of_files", "device_type"]
     keys = ["instance_id", "db_key"]
