@@ -30,6 +30,7 @@ def local_session(cores: int | str = "*", app: str = "fleetaudit", memory: str =
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.driver.memory", memory)
                .config("spark.ui.enabled", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per expression
                .config("spark.sql.shuffle.partitions", "8"))
     for key, value in RUN_CONF.items():
         builder = builder.config(key, value)
