@@ -102,14 +102,18 @@ SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, l_orderkey * 10 + l_line
   l_orderkey * 10 + l_linenumber AS media_set_id, 'user' || CAST(supp % 5 AS STRING) AS user_name
 FROM {_SETS} b INNER JOIN {{orders}} o ON o_orderkey = l_orderkey WHERE ship <= NTZ '2001-08-02 00:00:00'"""
 
+# A set has one file, or two where its lines name two parts; aggregates only, as an order may be large.
 SQL["backup_media"] = """
-SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, l_orderkey * 10 + l_linenumber AS media_set_id, CAST(seq AS INTEGER) AS family_sequence_number,
-  CASE l_partkey % 8 WHEN 0 THEN 'NUL' WHEN 1 THEN '{{A1B2-' || CAST(l_suppkey AS STRING) || '}}' WHEN 2 THEN '/mnt/backup' || CAST(l_suppkey % 3 AS STRING) || '/f' || CAST(l_partkey AS STRING)
-    WHEN 3 THEN ' nul: ' WHEN 4 THEN 'plain' || CAST(l_partkey AS STRING)
-    ELSE 'S:' || chr(92) || 'bak' || CAST(l_suppkey % 2 AS STRING) || chr(92) || 'f' || CAST(l_partkey AS STRING) || '.bak' END AS physical_device_name,
-  CASE WHEN l_partkey % 6 = 0 THEN 'dev' || CAST(l_suppkey AS STRING) END AS logical_device_name,
-  CASE l_partkey % 7 WHEN 1 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 9 WHEN 4 THEN 105 WHEN 5 THEN 3 ELSE 2 END AS device_type
-FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS seq FROM {lineitem}) m
+SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, l_orderkey * 10 + l_linenumber AS media_set_id, CAST(n AS INTEGER) AS family_sequence_number,
+  CASE part % 8 WHEN 0 THEN 'NUL' WHEN 1 THEN '{{A1B2-' || CAST(supp AS STRING) || '}}' WHEN 2 THEN '/mnt/backup' || CAST(supp % 3 AS STRING) || '/f' || CAST(part AS STRING)
+    WHEN 3 THEN ' nul: ' WHEN 4 THEN 'plain' || CAST(part AS STRING)
+    ELSE 'S:' || chr(92) || 'bak' || CAST(supp % 2 AS STRING) || chr(92) || 'f' || CAST(part AS STRING) || '.bak' END AS physical_device_name,
+  CASE WHEN part % 6 = 0 THEN 'dev' || CAST(supp AS STRING) END AS logical_device_name,
+  CASE part % 7 WHEN 1 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 9 WHEN 4 THEN 105 WHEN 5 THEN 3 ELSE 2 END AS device_type
+FROM (SELECT l_orderkey, l_linenumber, n, CASE WHEN n = 1 THEN part_lo ELSE part_hi END AS part, CASE WHEN n = 1 THEN supp_lo ELSE supp_hi END AS supp
+      FROM (SELECT l_orderkey, l_linenumber, part_lo, part_hi, supp_lo, supp_hi, EACH(1,2) AS n
+            FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part_lo, max(l_partkey) AS part_hi, min(l_suppkey) AS supp_lo, max(l_suppkey) AS supp_hi
+                  FROM {lineitem} GROUP BY l_orderkey, l_linenumber) a) b WHERE n = 1 OR part_hi <> part_lo) m
 INNER JOIN {orders} o ON o_orderkey = l_orderkey"""
 
 SQL["restore_history"] = f"""
