@@ -14,6 +14,8 @@ from .facts import Facts, raw, text_for, union
 UNLIMITED_MB = 2147483647
 # File ceilings in 8 KB pages: 2 TB, and the log ceiling of the general purpose tier. Fixed values.
 MAX_PAGES, GENERAL_PURPOSE_LOG_PAGES = 268435456, 15597568
+# A maintenance database whose limited files are wanted, in key form: fixed value.
+LIMITED_ON_PURPOSE = "db_administration"
 
 
 def versions(f: Facts) -> DataFrame:
@@ -49,7 +51,7 @@ def files(f: Facts) -> DataFrame:
         RowRule(604, tempdb & F.col("on_c") & elsewhere, db, name), RowRule(605, tempdb & (F.col("growth") == 0), db, name),
         RowRule(606, user & F.col("on_c") & elsewhere, db, name), RowRule(607, user & (F.col("growth") == 0), db, name),
         RowRule(620, ~tempdb & (F.col("growth") > 0) & ~max_size.isin(0, -1) & (max_size < MAX_PAGES)
-                & F.col("type_desc").isin("ROWS", "LOG") & (fold("database_name") != "db_administration"), db, name, F.floor(max_size / 128)),
+                & F.col("type_desc").isin("ROWS", "LOG") & (fold("database_name") != LIMITED_ON_PURPOSE), db, name, F.floor(max_size / 128)),
         RowRule(630, user & (fold("name") == "master") & (fold("database_name") != "master"), db, name),
     ])
 

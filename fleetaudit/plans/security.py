@@ -10,7 +10,9 @@ from ..operators import (RowRule, SettingRule, credential_dictionary_audit, miss
 from ..operators.scope import LAST_SYSTEM_ID
 from .facts import Facts, raw, union
 
+# States of a live grant, a login and an audit that come with a product, in key form: fixed values.
 GRANTED = ("G", "W")
+SHIPPED_LOGIN, SHIPPED_AUDIT = "l_certsignsmdetach", "sqlbeacon"
 
 
 def roles(f: Facts) -> DataFrame:
@@ -19,7 +21,7 @@ def roles(f: Facts) -> DataFrame:
                .select("instance_id", fold("role_name").alias("role"), fold("member_name").alias("login_key")).distinct())
     held = f.logins.join(members, ["instance_id", "login_key"]).where((F.col("sid") != f.sa) & ~F.col("deny_login"))
     name = F.col("name")
-    quiet = fold("name").startswith("nt service\\") | (fold("name") == "l_certsignsmdetach")
+    quiet = fold("name").startswith("nt service\\") | (fold("name") == SHIPPED_LOGIN)
     return rule_scan(held, [RowRule(301, (F.col("role") == "sysadmin") & ~quiet, object=name),
                             RowRule(302, F.col("role") == "securityadmin", object=name)])
 
@@ -165,7 +167,7 @@ def startup_code(f: Facts) -> DataFrame:
 
 def audits(f: Facts) -> DataFrame:
     """326: audits that run."""
-    running = f.fleet["audits"].where((F.col("status") == 1) & ~fold("name").contains("sqlbeacon"))
+    running = f.fleet["audits"].where((F.col("status") == 1) & ~fold("name").contains(SHIPPED_AUDIT))
     return raw(running, 326, None, "name")
 
 
