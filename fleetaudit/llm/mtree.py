@@ -36,6 +36,7 @@ ROUTES = 64  # routing objects of the top level, at most
 SUBTREE = 4096
 PAGE = 64
 QUERIES = 256  # in a block
+NONE = -(1 << 62)  # score of no row
 
 
 def integers(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -99,7 +100,7 @@ class Subtree:
         norms = (point * point).sum(axis=1)
         to_route = _distances(point, self.routes)
         bound = np.maximum(to_route - self.radii, 0)
-        best_score = np.full((len(queries), k), np.iinfo(np.int64).min)
+        best_score = np.full((len(queries), k), NONE)
         best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
         limit = np.full(len(queries), np.inf)  # distance of the k-th best so far, rounded up
         for page in np.argsort(bound.min(axis=0), kind="stable"):
@@ -114,7 +115,7 @@ class Subtree:
                 continue
             score = _products(queries[active], vectors[low:high])
             own = rows[low:high][None] == ids[active][:, None]
-            score = np.concatenate([np.where(own, np.iinfo(np.int64).min, score), best_score[active]], axis=1)
+            score = np.concatenate([np.where(own, NONE, score), best_score[active]], axis=1)
             found = np.concatenate([np.where(own, np.iinfo(np.int64).max, np.broadcast_to(rows[low:high], own.shape)), best_id[active]], axis=1)
             if score.shape[1] > 2 * k:  # keep what reaches the k-th score, ties with it included
                 worst = np.partition(score, -k, axis=1)[:, -k]
@@ -125,8 +126,8 @@ class Subtree:
             best_score[active], best_id[active] = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
             worst = best_score[active, -1]
             squared = norms[active] + top - 2 * worst.astype(np.float64)
-            limit[active] = np.where(worst == np.iinfo(np.int64).min, np.inf, np.sqrt(np.maximum(squared, 0)) * (1 + 1e-9) + 1e-3)
-        number, rank = np.nonzero(best_score > np.iinfo(np.int64).min)
+            limit[active] = np.where(worst == NONE, np.inf, np.sqrt(np.maximum(squared, 0)) * (1 + 1e-9) + 1e-3)
+        number, rank = np.nonzero(best_score > NONE)
         return number, best_id[number, rank], best_score[number, rank]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, fingerprint, langid, mixing, mtree, quality, toxicity
+from . import bpe, fingerprint, langid, mixing, mtree, neardup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,27 @@ def op10_toxicity(spark, folder):
     labels = _read(spark, folder, "labels").where("toxic is not null").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.train(toxicity.sample(docs, labels.where(~langid.in_fold("doc_id", 5, 0))))
     return toxicity.score(docs.withColumn("held_out", langid.in_fold("doc_id", 5, 0)), model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op4_bottom_k_near_duplicates(spark, folder):
+    return neardup.near_duplicates(_read(spark, folder, "documents"), width=2)
+
+
+ORACLES["op4_bottom_k_near_duplicates"] = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+                        ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM docs),
+sized AS (SELECT doc_id, s, len(s) AS n FROM sets),
+classes AS (SELECT min(doc_id) AS id, n, list_sort(s) AS s FROM sized WHERE n > 0 GROUP BY ALL),
+held AS (SELECT id, n, unnest(s) AS g FROM classes),
+common AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM held a JOIN held b ON a.g = b.g AND a.id < b.id
+           AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+link AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT id AS a, id AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+part AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a),
+named AS (SELECT c.n, c.s, p.component_id FROM classes c JOIN part p USING (id))
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM sized d LEFT JOIN named c ON d.n = c.n AND list_sort(d.s) = c.s
+"""
