@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, fingerprint, langid, mixing, mtree, neardup, quality, toxicity
+from . import bpe, fingerprint, langid, mixing, mtree, neardup, quality, recompress, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,20 @@ named AS (SELECT c.n, c.s, p.component_id FROM classes c JOIN part p USING (id))
 SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
 FROM sized d LEFT JOIN named c ON d.n = c.n AND list_sort(d.s) = c.s
 """
+
+
+@query
+def op8_recompression(spark, folder):
+    return recompress.removal_digests(_read(spark, folder, "documents"))
+
+
+ORACLES["op8_recompression"] = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS place FROM later, range(20) t(j)),
+words AS (SELECT doc_id, generate_subscripts(w, 1) AS place, unnest(w) AS word FROM docs),
+kept AS (SELECT w.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS t FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.place = g.place GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
