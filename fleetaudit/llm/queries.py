@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, fingerprint, langid, mixing, mtree, neardup, quality, recompress, toxicity
+from . import bpe, bwt, fingerprint, langid, mixing, mtree, neardup, quality, recompress, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,8 @@ kept AS (SELECT w.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
+
+
+@query
+def op5_bwt_merge(spark, folder):
+    return bwt.removal_digests(_read(spark, folder, "documents"))
