@@ -258,20 +258,20 @@ def _read(path: str) -> str:
         return f.read()
 
 
-def with_tokens(df: DataFrame, vocabulary: str) -> DataFrame:
-    """Documents with a column ``ids`` for their texts, computed in place so that repeated rows stay apart."""
+def with_tokens(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """All rows and columns of ``df``, the text as decoded from its ids, with ``ids`` and ``n_tokens``; repeated rows stay apart."""
     content = df.sparkSession.sparkContext.broadcast(_read(vocabulary))
-    place = df.columns.index("text")
+    df = df.drop("ids", "n_tokens")
+    place, names = df.columns.index(text), [*df.columns, "ids", "n_tokens"]
 
     def run(batch):
         v, texts = _vocabulary(content.value), [t or "" for t in batch.column(place).to_pylist()]
         for i, j in _runs(texts):
             ids = v.encode(texts[i:j])
-            first = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.ListArray.from_arrays(first, pa.array(flat, pa.int32()))],
-                                             [*batch.schema.names, "ids"])
+            size = np.array([len(x) for x in ids])
+            columns = list(batch.slice(i, j - i).columns)
+            columns[place] = pa.array([v.decode(x) for x in ids], pa.string())
+            flat = pa.array(np.concatenate(ids), pa.int32())
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), flat), pa.array(size, pa.int64())], names)
 
-    df = df.drop("ids")
-    place = df.columns.index("text")
-    return map_blocks(df, extended(df, "ids array<int>"), run)
+    return map_blocks(df, extended(df, "ids array<int>, n_tokens long"), run)

@@ -134,3 +134,16 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
 def in_fold(key: str, folds: int, fold: int) -> Column:
     """Whether the checksum of the key as text leaves this remainder; a null key never does."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def drop_unknown(df: DataFrame, least: float = 0.3, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``df`` without texts that have no letter, are null, or fit no learned language better than ``least``.
+
+    With nothing to learn from, only the first two go.
+    """
+    prototypes = learn(df, text, lang)
+    if not prototypes:
+        return df.where(F.col(text).rlike(r"\p{L}"))
+    names = df.columns
+    scored = predict(df.toDF(*[f"own_{n}" for n in names]), prototypes, f"own_{text}")
+    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*[F.col(f"own_{n}").alias(n) for n in names])

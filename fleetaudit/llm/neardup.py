@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stage import staged
 from .components import components
+from .repeats import possibly_in
 from .text import LOWER, U64, Words, blocks, lists, map_blocks, mix, text_bytes
 
 RETAINED = 48
@@ -183,3 +184,22 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     out = drawn.join(named, ["d1", "d2", "n"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one document of each group of near duplicates: the smallest key, null last; of rows that share it, one.
+
+    Rows without words are in no group and stay. Only rows that may go are shuffled with their texts.
+    """
+    # A row's number depends on its place in the files, so every reading gives the same.
+    rows = df.withColumn("row_number", F.monotonically_increasing_id())
+    found = near_duplicates(rows.select("row_number", text), width, percent, "row_number", text).where("n_shingles > 0")
+    # Groups of one row need no decision.
+    linked = staged(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "groups")
+    several = linked.where("row <> group").select("group").distinct()
+    members = linked.join(several, "group", "left_semi").join(rows.select(F.col("row_number").alias("row"), F.col(key).alias("own")), "row")
+    order = F.struct(F.col("own").isNull().alias("no_key"), "own", "row")
+    first = members.groupBy("group").agg(F.min(order).alias("first"))
+    gone = staged(members.join(first, "group").where("row <> first.row").select(F.col("row").alias("doc")), "gone")
+    some, none = possibly_in(rows.withColumn("id", F.col("row_number")), gone)
+    return some.join(gone, some["id"] == gone["doc"], "left_anti").union(none).select(*df.columns)
