@@ -15,5 +15,5 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     columns, and a lost executor costs a re-read, not a re-derivation.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
