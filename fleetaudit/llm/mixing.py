@@ -51,8 +51,8 @@ def targets(sizes: DataFrame, source: str = "source", weights=WEIGHTS, share: fl
     left = F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = per.withColumn("level", (share * F.sum("source_size").over(whole) - before) / left)
-    # Sources below their cap at the level they find share what is left; the first of them sets the level.
-    per = per.withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(whole))
+    # Sources below their cap at the level they find share what is left; the first of them, where the level is highest, sets it.
+    per = per.withColumn("level", F.max(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(whole))
     return per.select("of", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"), "opening")
 
 

@@ -60,7 +60,7 @@ per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OV
 weighed AS (SELECT *, [3, 1, 2][number % 3 + 1] AS weight, [CAST(1.5 AS DOUBLE), 1.0, 0.5][number % 3 + 1] AS opening, 2 * source_size AS cap FROM per),
 levels AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                      / sum(weight) OVER (ORDER BY cap / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own_level FROM weighed),
-level AS (SELECT min(own_level) AS level FROM levels WHERE cap >= own_level * weight),
+level AS (SELECT max(own_level) AS level FROM levels WHERE cap >= own_level * weight),
 plan AS (SELECT l.*, least(CAST(cap AS DOUBLE), coalesce(level * weight, cap)) AS target FROM levels l, level),
 placed AS (SELECT s.doc_id, s.size, s.place, p.source_size, p.target, p.opening, CAST(round(p.target) AS BIGINT) AS whole,
                   sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS start
