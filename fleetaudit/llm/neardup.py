@@ -99,7 +99,8 @@ def _likely(a: str, b: str, percent: int):
 def _rare_lists(classes: DataFrame) -> DataFrame:
     """``value``, ``id``: each class under the rarest of its retained values, as many as are needed."""
     rows = classes.select("id", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    length = rows.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
+    # Written, so that both sides of the join are plain shuffles and long lists are split.
+    length = staged(rows.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
     shared = rows.join(length, "value")
     order = Window.partitionBy("id").orderBy("length", "value")
     every = Window.partitionBy("id")
@@ -173,7 +174,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     classes = staged(drawn.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")), "classes")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     held = staged(_rare_lists(classes), "lists")
-    hubs = held.groupBy("value").agg(F.min("id").alias("a"))
+    hubs = staged(held.groupBy("value").agg(F.min("id").alias("a")), "hubs")
     stars = held.join(hubs, "value").where("a < id").select("a", F.col("id").alias("b")).distinct()
     links = staged(_verified(stars, classes, texts, width, percent), "links")
     merged = components(links)

@@ -76,8 +76,11 @@ def documents(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """Groups whose key occurs more than once. Keys are counted on the map side first; the join splits hot ones."""
-    often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    """Groups whose key occurs more than once. Keys are counted on the map side first.
+
+    The repeated keys are written, so that both sides of the join are plain shuffles and hot keys are split.
+    """
+    often = staged(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     return found.join(often, "key", "left_semi")
 
 
@@ -85,7 +88,7 @@ def contexts(occurrences: DataFrame) -> DataFrame:
     """key, context, windows, n (occurrences), doc and start of the first one, and ``rivals``: contexts under the key."""
     each = occurrences.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("first"), F.first("windows").alias("windows"))
     each = staged(each.select("key", "context", "n", "windows", F.col("first.doc").alias("doc"), F.col("first.start").alias("start")), "contexts")
-    several = each.groupBy("key").agg(F.count("*").alias("rivals")).where("rivals > 1")
+    several = staged(each.groupBy("key").agg(F.count("*").alias("rivals")).where("rivals > 1"), "several")
     return each.join(several, "key", "left").withColumn("rivals", F.coalesce("rivals", F.lit(1)))
 
 
