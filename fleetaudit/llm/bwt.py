@@ -5,10 +5,10 @@
 2. The contexts left, different ones under a shared anchor, go to shards by anchor. A shard's contexts
    arrive in blocks; each block gets its Burrows-Wheeler transform (rotations of its strings, sorted).
 3. A shard merges the transforms of its blocks by interleave refinement: one vector says from which
-   block each place of the merged order comes. A round reads the blocks' symbols in that order and
-   deals the vector out again by symbol, stably; after d rounds the order is right for the first d
-   bytes, and the boundaries seen so far tell which neighbours share d bytes. After 200 rounds the
-   runs without a boundary are the repeated intervals. No suffix is sorted again.
+   block each place of the merged order comes. A round reads the blocks' symbols (two bytes at once)
+   in that order and deals the vector out again by symbol, stably; after d rounds the order is right
+   for the first 2 d bytes, and the boundaries seen so far tell which neighbours share them. After 100
+   rounds the runs without a boundary are the repeated intervals. No suffix is sorted again.
 
 Anchors with very many different contexts would overfill a shard; their windows are compared by two
 64-bit hashes instead, as rows that Spark spreads and counts on the map side. Nothing is left out.
@@ -53,23 +53,20 @@ def byte_groups(offsets: np.ndarray, data: np.ndarray, window: int = WINDOW, foo
 
 
 def transform(strings: list[bytes], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform of a block: the symbols before the sorted rotations, and where these start.
+    """Burrows-Wheeler transform of a block: the two symbols before each sorted rotation, and where it starts.
 
-    Each string ends with symbol 0 and turns around on its own. Rotations alike for ``depth`` symbols and
-    more may stand in any order.
+    Each string ends with symbol 255, which no text holds, and turns around on its own. Rotations alike
+    for ``depth`` symbols and more may stand in any order.
     """
     lengths = np.array([len(s) + 1 for s in strings])
     ends = np.cumsum(lengths)
-    text = np.zeros(ends[-1], np.int64)
-    body = np.ones(ends[-1], bool)
-    body[ends - 1] = False
-    text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\xff".join([*strings, b""]), np.uint8).astype(np.int64)
     base = np.repeat(ends - lengths, lengths)
     size = np.repeat(lengths, lengths)
     place = np.arange(len(text)) - base
     rank, step = text, 1
     while True:
-        key = rank * (len(text) + 257) + rank[base + (place + step) % size]
+        key = rank * (len(text) + 256) + rank[base + (place + step) % size]
         order = np.argsort(key, kind="stable")
         new = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
         rank = np.empty(len(text), np.int64)
@@ -77,41 +74,73 @@ def transform(strings: list[bytes], depth: int = WINDOW) -> tuple[np.ndarray, np
         step *= 2
         if step >= depth or new[-1] == len(text) - 1:
             break
-    before = base + (place - 1) % size
-    return text[before[order]].astype(np.uint16), order
+    before = text[base + (place - 2) % size] << 8 | text[base + (place - 1) % size]
+    return before[order].astype(np.uint16), order
 
 
-def merge(transforms: list[np.ndarray], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the blocks' transforms in sorted order, and the intervals alike for ``depth`` symbols.
+def merge(transforms: list[np.ndarray], strings: list[np.ndarray], valid: list[np.ndarray], depth: int = WINDOW) -> np.ndarray:
+    """Whether each row of the blocks, one block after the other, is alike with another valid row for ``depth`` symbols.
 
-    Returns, for each place of the merged order, its block, and the number of its interval.
+    ``strings`` numbers the string of each row, ``valid`` marks the rotations that start a window. Two
+    symbols settle per round. Strings without a valid row that is alike with another so far can take no
+    part any more and leave together with all their rotations.
     """
-    symbols = np.concatenate(transforms)
+    symbols, owner, starts = (np.concatenate(x) for x in (transforms, strings, valid))
     source = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    interval = np.zeros(len(symbols), np.int64)
-    for _ in range(depth):
-        # Each block's symbols are read in their own order.
+    row = np.arange(len(symbols))
+    alike = np.zeros(len(symbols), bool)
+    interval = np.zeros(len(symbols), np.int32)
+    for done in range(2, depth + 1, 2):
+        # Each block's symbols are read in their own order, in the order of the merge so far.
+        own = np.argsort(source, kind="stable")
         read = np.empty_like(symbols)
-        read[np.argsort(source, kind="stable")] = symbols
+        read[own] = symbols
         deal = np.argsort(read, kind="stable")
         dealt, was = read[deal], interval[deal]
         source = source[deal]
-        interval = np.append(0, np.cumsum((dealt[1:] != dealt[:-1]) | (was[1:] != was[:-1])))
-    return source, interval
+        interval = np.zeros(len(deal), np.int32)
+        np.cumsum((dealt[1:] != dealt[:-1]) | (was[1:] != was[:-1]), out=interval[1:])
+        if done < depth and done % 16:
+            continue
+        own = np.argsort(source, kind="stable")
+        of = interval[own]
+        again = (np.bincount(of[starts], minlength=int(interval[-1]) + 1) > 1)[of] & starts
+        if done == depth:
+            alike[row[again]] = True
+            break
+        stays = np.zeros(int(owner.max()) + 1, bool)
+        stays[owner[again]] = True
+        keep = stays[owner]
+        if not keep.any():
+            break
+        merged = np.empty(len(own), bool)
+        merged[own] = keep
+        symbols, owner, starts, row = symbols[keep], owner[keep], starts[keep], row[keep]
+        source, interval = source[merged], interval[merged]
+    return alike
 
 
 def repeated_starts(shard: list[list[bytes]], window: int = WINDOW) -> list[list[np.ndarray]]:
-    """For each string of each block, the starts of the windows that occur elsewhere in the shard."""
-    built = [transform(strings, window) for strings in shard]
-    source, interval = merge([t for t, _ in built], window)
-    size = np.bincount(interval)
-    several = size[interval] > 1
-    out = []
-    for b, strings in enumerate(shard):
-        again = np.zeros(len(built[b][1]), bool)
-        again[built[b][1]] = several[source == b]
-        ends = np.cumsum([len(s) + 1 for s in strings])
-        out.append([np.flatnonzero(again[e - len(s) - 1:e - window]) if len(s) >= window else np.zeros(0, np.int64) for s, e in zip(strings, ends)])
+    """For each string of each block, the starts of the windows that occur elsewhere in the shard; ``window`` is even."""
+    transforms, strings, valid, orders, count = [], [], [], [], 0
+    for block in shard:
+        symbols, order = transform(block, window)
+        lengths = np.array([len(s) + 1 for s in block])
+        number = np.repeat(np.arange(len(block)), lengths)
+        last = np.repeat(np.cumsum(lengths) - 1 - window, lengths)  # the last start of a window in each string
+        transforms.append(symbols)
+        strings.append(number[order] + count)
+        valid.append((np.arange(len(number)) <= last)[order])
+        orders.append(order)
+        count += len(block)
+    alike = merge(transforms, strings, valid, window)
+    out, at = [], 0
+    for block, order in zip(shard, orders):
+        again = np.zeros(len(order), bool)
+        again[order] = alike[at:at + len(order)]
+        at += len(order)
+        ends = np.cumsum([len(s) + 1 for s in block])
+        out.append([np.flatnonzero(again[e - len(s) - 1:e]) for s, e in zip(block, ends)])
     return out
 
 

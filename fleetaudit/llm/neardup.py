@@ -2,16 +2,17 @@
 
 1. Every document's set of word shingles is hashed once. Equal sets form a class; only one document
    of each class goes on, so copies cost nothing further.
-2. The k smallest hashes of a class are its sketch. Inverted lists of the retained values show which
-   classes overlap. Two sets with a Jaccard similarity of 0.8 share at least ``need`` of their
-   retained values but for a chance below one in a billion (with k = 48 and a need of 3/8), so a class
-   needs only its rarest values: all but need - 1, in the order of list length. Values with short
-   lists come first, so frequent shingles make no candidates.
-3. Lists may be long (thousands of near copies). The first round pairs each member with the list's
-   smallest; what these pairs link is contracted. The second round takes the lists that still hold
-   several components, and compares blocks of members across components, never within one.
-4. The sketch of the union (the k smallest of both) estimates the similarity of a pair; pairs far
-   below the threshold go. The rest are verified on their full shingle sets. Verified pairs make
+2. The k smallest hashes of a class are its sketch. Inverted lists of the smallest 48 show which
+   classes overlap. Two sets with a Jaccard similarity of 0.8 share at least ``need`` of their k
+   smallest hashes but for a chance of about one in a hundred million (need = 20 of 48, 120 of 192),
+   so a class needs only its rarest values: all but need - 1, in the order of list length. Values with
+   short lists come first, so frequent shingles make no candidates.
+3. Lists may be long (thousands of near copies). First rounds pair each member with one hub of the
+   list; what these pairs link is contracted. The last round takes the lists that still hold several
+   components, and compares blocks of members across components, never within one; a pair counts in
+   the smallest value that indexes both.
+4. Pairs whose sketches (192 values) share less than the need go; sets that their sketches hold whole
+   are compared by all they have. The rest are verified on their full shingle sets. Verified pairs make
    components.
 
 Words are runs of other characters than ASCII white space, A-Z in lower case. A text with fewer
@@ -33,13 +34,12 @@ from .components import components
 from .repeats import possibly_in
 from .text import LOWER, U64, Words, blocks, lists, map_blocks, mix, text_bytes
 
-RETAINED = 48
+RETAINED = 192  # values of the sketch, for the estimate
+NEED = 0.63  # share of them that two linked sets have in common at least
+INDEXED = 48  # the smallest of them, for the inverted lists
+INDEX_NEED = 0.42
 BLOCK_MEMBERS = 256
-
-
-def _need(retained: int) -> int:
-    """Retained values that two linked sets share at least."""
-    return max(1, retained * 3 // 8)
+HUB_ROUNDS = 2
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +63,10 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int) -> tuple[np.
 
 
 def sketches(df: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``n`` (set size), ``d1``, ``d2`` (digest of the set), ``sketch`` of every document."""
+    """``id``, ``n`` (set size), ``d1``, ``d2`` (digest of the set), ``indexed`` and ``sketch`` of every document.
+
+    The sketch keeps 32 bits of each value, enough to compare two sketches; the lists use all bits.
+    """
     def run(batch):
         offsets, data = text_bytes(batch.column(1))
         for i, j in blocks(offsets):
@@ -73,11 +76,15 @@ def sketches(df: DataFrame, width: int, key: str = "doc_id", text: str = "text")
             for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
                 total = np.append(U64(0), np.cumsum(mix(values.astype(U64) + U64(salt))))
                 digests.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-            take = np.minimum(n, RETAINED)
-            at = np.repeat(first[:-1], take) + (np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(n), pa.array(digests[0]), pa.array(digests[1]),
-                                              lists(np.append(0, np.cumsum(take)), values[at], pa.int64())], ["id", "n", "d1", "d2", "sketch"])
-    return map_blocks(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id long, n long, d1 long, d2 long, sketch array<long>", run)
+            columns = [batch.column(0)[i:j], pa.array(n), pa.array(digests[0]), pa.array(digests[1])]
+            for keep, kind in ((INDEXED, pa.int64()), (RETAINED, pa.int32())):
+                take = np.minimum(n, keep)
+                held = values[np.repeat(first[:-1], take) + (np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take))]
+                held = held if keep == INDEXED else mix(held.astype(U64)).astype(np.uint32).view(np.int32)
+                columns.append(lists(np.append(0, np.cumsum(take)), held, kind))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "indexed", "sketch"])
+    return map_blocks(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")),
+                      "id long, n long, d1 long, d2 long, indexed array<long>, sketch array<int>", run)
 
 
 def full_sets(df: DataFrame, width: int) -> DataFrame:
@@ -90,31 +97,38 @@ def full_sets(df: DataFrame, width: int) -> DataFrame:
     return map_blocks(df.select("id", "text"), "id long, shingles array<long>", run)
 
 
-def _likely(a: str, b: str, percent: int):
-    """Whether the union sketch of two classes leaves the threshold possible; never false for a linked pair but by a rare chance."""
-    shared = F.size(F.array_intersect(a, b))
-    return shared >= F.lit(0.375) * F.least(F.size(a), F.size(b)) * F.lit(percent / 80)
+def _enough(shared, a, b, percent: int):
+    """Whether two sketches leave the threshold possible; never false for a linked pair but by a rare chance.
+
+    Works on columns and arrays alike: ``a`` and ``b`` are the set sizes, ``shared`` the common values.
+    """
+    if isinstance(shared, np.ndarray):
+        fewer = np.minimum(np.minimum(a, b), RETAINED)
+        whole = np.maximum(a, b) <= RETAINED
+        return np.where(whole, 100 * shared >= percent * (a + b - shared), shared >= np.floor(NEED * percent / 80 * fewer))
+    fewer = F.least(a, b, F.lit(RETAINED))
+    return F.when(F.greatest(a, b) <= RETAINED, 100 * shared >= percent * (a + b - shared)).otherwise(shared >= F.floor(F.lit(NEED * percent / 80) * fewer))
 
 
-def _rare_lists(classes: DataFrame) -> DataFrame:
-    """``value``, ``id``: each class under the rarest of its retained values, as many as are needed."""
-    rows = classes.select("id", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+def _rare_lists(drawn: DataFrame, classes: DataFrame) -> DataFrame:
+    """``value``, ``id``: each class under the rarest of its indexed values, as many as are needed."""
+    rows = drawn.select("id", "indexed").join(classes.select("id"), "id", "left_semi").select("id", F.size("indexed").alias("k"), F.explode("indexed").alias("value"))
     # Written, so that both sides of the join are plain shuffles and long lists are split.
     length = staged(rows.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
     shared = rows.join(length, "value")
     order = Window.partitionBy("id").orderBy("length", "value")
     every = Window.partitionBy("id")
-    # Values that no other class retains come first in the order and make no list.
-    need = F.greatest(F.lit(1), F.floor(F.col("k") * 3 / 8))
+    # Values that no other class has come first in the order and make no list.
+    need = F.greatest(F.lit(1), F.floor(F.col("k") * INDEX_NEED))
     ranked = shared.withColumn("place", F.row_number().over(order)).withColumn("held", F.count("*").over(every))
     return ranked.where(F.col("place") <= F.col("held") - need + 1).select("value", "id")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, drawn: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    sketch = classes.select("id", "n", "sketch")
+    sketch = classes.select("id").join(drawn.select("id", "n", "sketch"), "id")
     likely = (pairs.join(sketch.toDF("a", "na", "sa"), "a").join(sketch.toDF("b", "nb", "sb"), "b")
-              .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _likely("sa", "sb", percent)).select("a", "b"))
+              .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b"))
     likely = staged(likely, "likely")
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     sets = staged(full_sets(texts.join(wanted, "id", "left_semi"), width), "sets")
@@ -123,7 +137,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _across(held: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _stars(named: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each list's hub with the members of other components; another hub each turn.
+
+    The hub is the member of smallest hash, of the first turn the smallest id, so lists with much the
+    same members mostly have the same hub.
+    """
+    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    sizes = named.groupBy("value", "component").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("order"), "id")).alias("low"))
+    hubs = sizes.groupBy("value").agg(F.max(F.struct("n", "component", "low")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    hubs = staged(hubs.select("value", F.col("most.component").alias("main"), F.col("most.low.id").alias("hub")), "hubs")
+    pairs = named.join(hubs, "value").where("component <> main")
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _across(held: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a list and whose sketches overlap enough.
 
     ``held``: value, id, component. In each list the largest component is dealt into blocks of its
@@ -132,36 +160,58 @@ def _across(held: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sizes = held.groupBy("value", "component").agg(F.count("*").alias("n"))
     per = sizes.groupBy("value").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1")
     per = per.select("value", F.col("most.component").alias("main"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("deal"))
-    rows = held.join(per, "value").join(classes.select("id", "sketch"), "id")
+    lists_of = held.groupBy("id").agg(F.collect_list("value").alias("indexed"))  # a class has at most ``INDEXED``
+    facts = drawn.select("id", "n", "sketch").join(lists_of, "id")
+    rows = held.join(per, "value").join(facts, "id")
     rows = rows.withColumn("is_main", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("deal")).cast("int"))
     # A block has about BLOCK_MEMBERS members, whatever the length of the list.
-    grouped = staged(rows.groupBy("value", "is_main", "block").agg(F.collect_list(F.struct("id", "component", "sketch")).alias("members")), "blocks")
+    grouped = staged(rows.groupBy("value", "is_main", "block").agg(F.collect_list(F.struct("id", "component", "n", "sketch", "indexed")).alias("members")), "blocks")
     a = grouped.where("not is_main").select("value", F.col("block").alias("i"), F.col("members").alias("x"))
     b = grouped.select("value", F.col("is_main").alias("m"), F.col("block").alias("j"), F.col("members").alias("y"))
-    met = a.join(b, "value").where("m or i <= j").select("x", "y")
+    met = a.join(b, "value").where("m or i <= j").select("value", "x", "y")
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                left, right = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                x, y = _buckets(left), _buckets(right)
-                width = np.minimum([[len(m["sketch"])] for m in left], [len(m["sketch"]) for m in right])
-                apart = np.array([[m["component"]] for m in left]) != np.array([m["component"] for m in right])
-                # Shared buckets are no fewer than shared values.
-                i, j = np.nonzero(apart & (x @ y.T >= 0.375 * width * percent / 80))
-                ids, others = np.array([m["id"] for m in left]), np.array([m["id"] for m in right])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], others[j]), pa.int64()), pa.array(np.maximum(ids[i], others[j]), pa.int64())], ["a", "b"])
+                value = batch.column(0)[r].as_py()
+                left, right = _members(batch.column(1)[r].values), _members(batch.column(2)[r].values)
+                likely = _enough(_shared(left["sketch"], right["sketch"]), left["n"][:, None], right["n"], percent)
+                likely &= left["component"][:, None] != right["component"]
+                if likely.any():
+                    likely &= _shared(left["indexed"], right["indexed"], value) == 0
+                i, j = np.nonzero(likely)
+                ids, others = left["id"][i], right["id"][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, others)), pa.array(np.maximum(ids, others))], ["a", "b"])
 
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def _buckets(members: list[dict], number: int = 1024) -> np.ndarray:
-    out = np.zeros((len(members), number), np.float32)
-    for i, m in enumerate(members):
-        np.add.at(out[i], np.array(m["sketch"], np.int64) % number, 1)
+def _members(block: pa.StructArray) -> dict:
+    """Columns of a block's members; lists as bounds and values."""
+    out = {c: block.field(c).to_numpy() for c in ("id", "component", "n")}
+    for c in ("sketch", "indexed"):
+        held = block.field(c)
+        bounds = held.offsets.to_numpy()
+        out[c] = (bounds - bounds[0], held.flatten().to_numpy())
     return out
 
 
+def _shared(x, y, below: int | None = None) -> np.ndarray:
+    """Number of values that each list of ``x`` shares with each of ``y``, of those under ``below``."""
+    common = np.intersect1d(x[1], y[1])
+    if below is not None:
+        common = common[common < below]
+    marks = []
+    for bounds, values in (x, y):
+        mark = np.zeros((len(bounds) - 1, len(common)), np.float32)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+            hit = common[at] == values
+            mark[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[hit], at[hit]] = 1
+        marks.append(mark)
+    return marks[0] @ marks[1].T
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept, for every row of ``df``.
 
@@ -171,15 +221,18 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     if percent < 80:
         raise ValueError("the sketches are sized for thresholds of 80 percent and more")
     drawn = staged(sketches(df, width, key, text), "sketches")
-    classes = staged(drawn.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")), "classes")
+    classes = staged(drawn.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")), "classes")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    held = staged(_rare_lists(classes), "lists")
-    hubs = staged(held.groupBy("value").agg(F.min("id").alias("a")), "hubs")
-    stars = held.join(hubs, "value").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    links = staged(_verified(stars, classes, texts, width, percent), "links")
-    merged = components(links)
-    named = held.join(merged, held["id"] == merged["node"], "left").select("value", "id", F.coalesce("component", "id").alias("component"))
-    more = _verified(_across(staged(named, "named"), classes, percent), classes, texts, width, percent)
+    held = staged(_rare_lists(drawn, classes), "lists")
+    links, named = None, held.select("value", "id", F.col("id").alias("component"))
+    for turn in range(HUB_ROUNDS):
+        stars = _stars(named, turn)
+        new = staged(_verified(stars, drawn, classes, texts, width, percent), "links")
+        links = new if links is None else staged(links.union(new), "links")
+        merged = components(links)
+        named = held.join(merged, held["id"] == merged["node"], "left").select("value", "id", F.coalesce("component", "id").alias("component"))
+        named = staged(named, "named")
+    more = _verified(_across(named, drawn, percent), drawn, classes, texts, width, percent)
     found = components(links.union(staged(more, "links")))
     named = classes.join(found, classes["id"] == found["node"], "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
     out = drawn.join(named, ["d1", "d2", "n"], "left")
