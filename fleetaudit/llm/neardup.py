@@ -8,7 +8,7 @@
    so a class needs only its rarest values: all but need - 1, in the order of list length. Values with
    short lists come first, so frequent shingles make no candidates.
 3. Lists may be long (thousands of near copies). First rounds pair each member with one hub of the
-   list; what these pairs link is contracted. The last round takes the lists that still hold several
+   list; what these pairs link is contracted, and other hubs follow while that pays. The last round takes the lists that still hold several
    components, and compares blocks of members across components, never within one; a pair counts in
    the smallest value that indexes both.
 4. Pairs whose sketches (192 values) share less than the need go; sets that their sketches hold whole
@@ -39,7 +39,8 @@ NEED = 0.63  # share of them that two linked sets have in common at least
 INDEXED = 48  # the smallest of them, for the inverted lists
 INDEX_NEED = 0.42
 BLOCK_MEMBERS = 256
-HUB_ROUNDS = 2
+HUB_ROUNDS = 6
+HUB_YIELD = 0.1  # share of a round's pairs that must be linked for another round to pay
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +98,17 @@ def full_sets(df: DataFrame, width: int) -> DataFrame:
     return map_blocks(df.select("id", "text"), "id long, shingles array<long>", run)
 
 
+def _distinct_lists(held: DataFrame) -> DataFrame:
+    """``held`` without lists of one member, and of lists with the same members only that of the smallest value.
+
+    A pair's smallest common value always stays: a list of the same members under a smaller value would hold the pair too.
+    """
+    mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    per = held.groupBy("value").agg(F.count("*").alias("members"), *mark).where("members > 1")
+    keep = staged(per.groupBy("members", "mark1", "mark2").agg(F.min("value").alias("value")).select("value"), "values")
+    return held.join(keep, "value", "left_semi")
+
+
 def _enough(shared, a, b, percent: int):
     """Whether two sketches leave the threshold possible; never false for a linked pair but by a rare chance.
 
@@ -158,7 +170,7 @@ def _across(held: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     own, the other members into others; two blocks of the largest component never meet.
     """
     sizes = held.groupBy("value", "component").agg(F.count("*").alias("n"))
-    per = sizes.groupBy("value").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1")
+    per = sizes.groupBy("value").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1 and members > 2")  # the hub rounds have settled pairs
     per = per.select("value", F.col("most.component").alias("main"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("deal"))
     lists_of = held.groupBy("id").agg(F.collect_list("value").alias("indexed"))  # a class has at most ``INDEXED``
     facts = drawn.select("id", "n", "sketch").join(lists_of, "id")
@@ -223,15 +235,17 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     drawn = staged(sketches(df, width, key, text), "sketches")
     classes = staged(drawn.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")), "classes")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    held = staged(_rare_lists(drawn, classes), "lists")
+    held = staged(_distinct_lists(staged(_rare_lists(drawn, classes), "rare")), "lists")
     links, named = None, held.select("value", "id", F.col("id").alias("component"))
     for turn in range(HUB_ROUNDS):
-        stars = _stars(named, turn)
+        stars = staged(_stars(named, turn), "stars")
         new = staged(_verified(stars, drawn, classes, texts, width, percent), "links")
         links = new if links is None else staged(links.union(new), "links")
         merged = components(links)
         named = held.join(merged, held["id"] == merged["node"], "left").select("value", "id", F.coalesce("component", "id").alias("component"))
         named = staged(named, "named")
+        if new.count() < HUB_YIELD * stars.count():
+            break
     more = _verified(_across(named, drawn, percent), drawn, classes, texts, width, percent)
     found = components(links.union(staged(more, "links")))
     named = classes.join(found, classes["id"] == found["node"], "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
