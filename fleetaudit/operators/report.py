@@ -58,14 +58,19 @@ def report(parts: Sequence[DataFrame], rules: Sequence[Rule], as_of=None, min_im
     raw = reduce(DataFrame.unionByName, [p.select(*RAW_COLUMNS) for p in parts])
     spark = raw.sparkSession
     dim = F.broadcast(rule_dimension(spark, rules))
-    rows = raw.join(dim, ["check_id", "case_no"])
+    rows = raw.join(dim, ["check_id", "case_no"], "left")
+    # A finding without a text still shows: at high importance, under its number, in the category of its hundred.
+    number = F.concat(F.lit("Check "), F.col("check_id").cast("string"))
+    plain = {"category_id": F.floor(F.col("check_id") / 100).cast("int"), "importance": F.lit(1), "check_name": number,
+             "issue": F.concat(number, F.lit(" has no text")), "action_step": F.lit("Add a text for this check.")}
+    rows = rows.withColumns({name: F.coalesce(name, value) for name, value in plain.items()})
     if not discovery:
         rows = rows.where(F.col("category_id") > 1)
     if min_importance is not None:
         rows = rows.where((F.col("importance") > 0) & (F.col("importance") <= min_importance))
     cats = constant_table(spark, CATEGORIES, "category_id int, category string")
     levels = constant_table(spark, IMPORTANCE, "importance int, importance_label string")
-    rows = rows.join(F.broadcast(cats), "category_id").join(F.broadcast(levels), "importance")
+    rows = rows.join(F.broadcast(cats), "category_id", "left").join(F.broadcast(levels), "importance", "left")
     out = rows.select(
         "instance_id", F.col("category_id").cast("short").alias("category_id"), "category", "check_id",
         F.col("importance").cast("short").alias("importance"), "importance_label", "check_name",

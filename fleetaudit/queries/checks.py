@@ -41,13 +41,12 @@ HELPERS.update({
         JOIN databases d ON d.instance_id = b.instance_id AND lower(d.name) = lower(b.database_name)
         WHERE lower(b.server_name) = lower(i.server_name_prop) AND d.database_id <> 2 AND {GOOD_STATE} AND b.backup_start_date >= {START} AND b.backup_start_date <= {NOW}""",
     "folders": """SELECT instance_id, backup_set_id, CASE WHEN left(physical_device_name, 1) = '{' THEN '{' || device_text || '}'
-        WHEN strpos(reverse(physical_device_name), chr(92)) > 1 THEN left(physical_device_name, length(physical_device_name) - strpos(reverse(physical_device_name), chr(92)) + 1)
-        WHEN strpos(reverse(physical_device_name), '/') > 1 THEN left(physical_device_name, length(physical_device_name) - strpos(reverse(physical_device_name), '/') + 1) END AS folder
+        ELSE coalesce(nullif(regexp_extract(physical_device_name, '^(.*\\\\)[^\\\\]+$', 1), ''), nullif(regexp_extract(physical_device_name, '^(.*/)[^/]+$', 1), '')) END AS folder
         FROM hist WHERE family_sequence_number = 1""",
     "located": "SELECT h.*, coalesce(p.folder, h.device_text) AS location FROM hist h JOIN folders p USING (instance_id, backup_set_id)",
-    "failed": f"""SELECT DISTINCT instance_id, log_date, left(message, e) AS issue, replace(replace(trim(substr(message, s, e - s)), '[', ''), ']', '') AS dbname FROM
-        (SELECT *, strpos(substr(message, s), '.') + s - 1 AS e FROM (SELECT *, CASE WHEN message ILIKE '%BACKUP DATABASE %' THEN strpos(message, 'BACKUP DATABASE ') + 16
-          WHEN message ILIKE '%BACKUP LOG %' THEN strpos(message, 'BACKUP LOG ') + 11 END AS s FROM error_log WHERE message ILIKE '%BACKUP failed to complete the command BACKUP%') a WHERE s IS NOT NULL) b WHERE e > s""",
+    "failed": """SELECT DISTINCT instance_id, log_date, issue, regexp_replace(trim(regexp_extract(issue, 'BACKUP (DATABASE|LOG) ([^.]+)[.]$', 2)), '[][]', '', 'g') AS dbname
+        FROM (SELECT instance_id, log_date, coalesce(nullif(regexp_extract(message, '^.*?BACKUP DATABASE [^.]+[.]'), ''), nullif(regexp_extract(message, '^.*?BACKUP LOG [^.]+[.]'), '')) AS issue
+              FROM error_log WHERE message ILIKE '%BACKUP failed to complete the command BACKUP%') WHERE issue IS NOT NULL""",
     "logins": """SELECT p.*, EXISTS (SELECT 1 FROM server_role_members r WHERE r.instance_id = p.instance_id AND r.role_name = 'sysadmin' AND lower(r.member_name) = lower(p.name)) AS is_sys FROM server_principals p""",
     "sysa": "SELECT DISTINCT instance_id, lower(member_name) AS login FROM server_role_members WHERE role_name = 'sysadmin'",
     "svc": "SELECT *, CASE WHEN servicename LIKE 'SQL Server Agent%' THEN 'agent' ELSE 'engine' END AS kind FROM server_services",

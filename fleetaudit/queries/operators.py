@@ -643,7 +643,7 @@ def o29_state_changes(t: Tables) -> DataFrame:
 
 @query("o30_parent_location", """
 SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '{' || CASE WHEN page_id % 10 = 0 THEN 'UNKNOWN' ELSE 'Virtual Device' END || '}'
-                     WHEN page_id % 5 = 1 THEN regexp_extract(replace(url, '/', chr(92)), '^(.*\\\\)[^\\\\]+$', 1)
+                     WHEN page_id % 5 = 1 THEN nullif(regexp_extract(replace(url, '/', chr(92)), '^(.*\\\\)[^\\\\]+$', 1), '')
                      ELSE nullif(regexp_extract(url, '^(.*/)[^/]+$', 1), '') END AS location FROM pages
 """)
 def o30_parent_location(t: Tables) -> DataFrame:

@@ -5,6 +5,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from ..functions import as_ts
 from ..functions.stage import staged
@@ -31,14 +32,16 @@ def latest_snapshot(df: DataFrame, as_of=None, lookback_days: int | None = None)
     """Rows of each instance's last snapshot at or before ``as_of``.
 
     The last time per instance comes from two columns and combines on the map side; the rows are
-    then kept by a semi join on (instance, time). With ``lookback_days`` the folders of
-    ``snapshot_date`` outside the window are pruned.
+    then kept by a semi join on (instance, time). Folders of ``snapshot_date`` after ``as_of`` are pruned;
+    with ``lookback_days`` those before the window too, and an instance silent for longer is not read.
     """
     if as_of is not None:
         df = df.where(F.col("snapshot_ts") <= as_ts(as_of))
-        if lookback_days is not None and "snapshot_date" in df.columns:
+        if "snapshot_date" in df.columns:
             day = F.to_date(as_ts(as_of))
-            df = df.where((F.col("snapshot_date") <= day) & (F.col("snapshot_date") >= F.date_sub(day, lookback_days)))
+            df = df.where(F.col("snapshot_date") <= day)
+            if lookback_days is not None:
+                df = df.where(F.col("snapshot_date") >= F.date_sub(day, lookback_days))
     last = df.groupBy("instance_id").agg(F.max("snapshot_ts").alias("snapshot_ts"))
     return df.join(last, ["instance_id", "snapshot_ts"], "left_semi")
 
@@ -68,15 +71,21 @@ class Fleet:
         return cls(spark, frames.get)
 
     @classmethod
-    def from_lake(cls, spark: SparkSession, root: str, as_of=None, lookback_days: int | None = 30,
+    def from_lake(cls, spark: SparkSession, root: str, as_of=None, lookback_days: int | None = None,
                   fmt: str = "parquet") -> "Fleet":
         """Tables under ``root/<table>``; snapshot tables are partitioned by ``snapshot_date``.
 
-        A table without a folder counts as not collected and is empty.
+        A table without a folder counts as not collected and is empty. Parquet is read with the declared
+        columns, so a file that lacks one gives nulls there, a narrower type is widened, and no column of
+        a newer file is lost. Other formats keep their own schema and are cast.
         """
         def read(table: str) -> DataFrame | None:
             try:
-                df = spark.read.format(fmt).load(f"{root.rstrip('/')}/{table}")
+                source = spark.read.format(fmt)
+                if fmt == "parquet":
+                    declared = schema_of(table)
+                    source = source.schema(StructType([*declared.fields, StructField("snapshot_date", DateType())]))
+                df = source.load(f"{root.rstrip('/')}/{table}")
             except AnalysisException as e:
                 if e.getCondition() == "PATH_NOT_FOUND":
                     return None

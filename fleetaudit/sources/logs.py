@@ -1,26 +1,47 @@
 """Log lines and event payloads as exported by collectors."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # A line starts with its time, then the process, then the message.
-_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+(\S+)\s+(.*)$"
+_LINE = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)\s+(\S+)\s+(.*)$"
+
+
+def _number_of_file(lines: DataFrame) -> DataFrame:
+    """Lines with their file and a number that grows along it."""
+    return lines.withColumn("_path", F.input_file_name()).withColumn("_line", F.monotonically_increasing_id())
 
 
 def read_log_text(spark: SparkSession, glob: str, instance_from: str = r"instance=([^/]+)") -> DataFrame:
-    """Error logs as plain text files, one entry a line; the instance comes from the file's path."""
-    lines = spark.read.text(glob).withColumn("_path", F.input_file_name())
-    return (lines.where(F.col("value").rlike(_LINE))
-            .select(F.regexp_extract("_path", instance_from, 1).alias("instance_id"),
-                    F.to_timestamp(F.regexp_extract("value", _LINE, 1)).cast("timestamp_ntz").alias("log_date"),
-                    F.regexp_extract("value", _LINE, 2).alias("process_info"),
-                    F.regexp_extract("value", _LINE, 3).alias("message")))
+    """Error logs as plain text files; the instance comes from the file's path.
+
+    An entry starts with its time; lines without one continue the entry before them. Nothing is dropped:
+    lines before a file's first entry, and entries whose time is no date, come with a null time, and
+    ``rejected`` marks them.
+    """
+    lines = _number_of_file(spark.read.text(glob)).where(F.trim("value") != "")
+    lines = lines.withColumn("_starts", F.col("value").rlike(_LINE))
+    order = Window.partitionBy("_path").orderBy("_line")
+    lines = lines.withColumn("_entry", F.sum(F.col("_starts").cast("int")).over(order))
+    entry = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "value"))), lambda x: x["value"]), "\n")
+    entries = lines.groupBy("_path", "_entry").agg(entry.alias("value"))
+    first = F.regexp_extract("value", _LINE, 1)
+    at = F.expr(f"try_to_timestamp(nullif(regexp_extract(value, r'{_LINE}', 1), ''))").cast("timestamp_ntz")
+    return entries.select(F.regexp_extract("_path", instance_from, 1).alias("instance_id"), at.alias("log_date"),
+                          F.when(first != "", F.regexp_extract("value", _LINE, 2)).alias("process_info"),
+                          F.when(first != "", F.regexp_extract("value", _LINE, 3)).otherwise(F.col("value")).alias("message"),
+                          at.isNull().alias("rejected"))
 
 
 def read_event_payloads(spark: SparkSession, glob: str, instance_from: str = r"instance=([^/]+)") -> DataFrame:
-    """Event files by wildcard path: one XML event a line, named by its ``name`` attribute."""
+    """Event files by wildcard path: one XML event a line, named by its ``name`` attribute.
+
+    The name is read from the opening tag alone, so a payload cut short is kept, with ``rejected`` set
+    where its closing tag or its name is missing.
+    """
     lines = spark.read.text(glob).withColumn("_path", F.input_file_name())
+    name = F.regexp_extract("value", r"<event\b[^>]*?\bname=[\"']([^\"']*)[\"']", 1)
+    whole = F.col("value").rlike(r"</event>\s*$|<event\b[^<]*/>\s*$")
     return (lines.where(F.col("value").contains("<event"))
-            .select(F.regexp_extract("_path", instance_from, 1).alias("instance_id"),
-                    F.xpath_string(F.col("value"), F.lit("/event/@name")).alias("object_name"),
-                    F.col("value").alias("event_data")))
+            .select(F.regexp_extract("_path", instance_from, 1).alias("instance_id"), name.alias("object_name"),
+                    F.col("value").alias("event_data"), (~whole | (name == "")).alias("rejected")))

@@ -31,12 +31,38 @@ def test_log_and_event_files(spark, tmp_path):
     (folder / "ERRORLOG").write_text("2024-06-01 10:00:00.120 spid5s      Login failed for user 'x'.\ncontinued line\n2024-06-01 10:00:01.00 Logon       ok\n")
     (folder / "AlwaysOn_health_1.txt").write_text('<event name="availability_replica_state_change" timestamp="2024-06-01T10:00:00Z"/>\n\n')
     log = read_log_text(spark, f"{tmp_path}/*/ERRORLOG*").orderBy("log_date").collect()
-    assert [(r.instance_id, r.process_info, r.message) for r in log] == [("srv1", "spid5s", "Login failed for user 'x'."), ("srv1", "Logon", "ok")]
+    assert [(r.instance_id, r.process_info, r.message) for r in log] == [("srv1", "spid5s", "Login failed for user 'x'.\ncontinued line"), ("srv1", "Logon", "ok")]
+    assert not any(r.rejected for r in log)
     assert log[0].log_date == ts("2024-06-01 10:00:00.120")
     events = read_event_payloads(spark, f"{tmp_path}/*/AlwaysOn_health*").collect()
     assert [(r.instance_id, r.object_name) for r in events] == [("srv1", "availability_replica_state_change")]
 
 
+def test_bad_lines_are_kept_aside(spark, tmp_path):
+    folder = tmp_path / "instance=srv1"
+    folder.mkdir()
+    (folder / "ERRORLOG").write_text("cut off at the start\n2024-13-41 10:00:00.00 spid1 bad date\n2024-06-01 10:00:00.00 Logon Error: 18456\n    Login failed\n")
+    (folder / "AlwaysOn_health_1.txt").write_text('<event name="x"><data\n<event name="y"></event>\n')
+    log = {r.message: (r.log_date, r.rejected) for r in read_log_text(spark, f"{tmp_path}/*/ERRORLOG*").collect()}
+    assert log == {"cut off at the start": (None, True), "bad date": (None, True), "Error: 18456\n    Login failed": (ts("2024-06-01 10:00:00"), False)}
+    events = read_event_payloads(spark, f"{tmp_path}/*/AlwaysOn_health*").collect()
+    assert sorted((r.object_name, r.rejected) for r in events) == [("x", True), ("y", False)]
+
+
+def test_lake_keeps_new_columns_narrow_types_and_silent_instances(spark, tmp_path):
+    root = str(tmp_path)
+    old = table(spark, "databases", [database("a", 2, "tempdb")]).drop("snapshot_ts", "is_encrypted")
+    write_snapshot(old, root, "databases", "2023-05-20 00:00:00")
+    write_snapshot(table(spark, "databases", [database("b", 2, "tempdb", is_encrypted=True)]).drop("snapshot_ts"), root, "databases", "2024-05-31 00:00:00")
+    fleet = Fleet.from_lake(spark, root, AS_OF)
+    assert sorted((r.instance_id, r.is_encrypted) for r in fleet["databases"].collect()) == [("a", None), ("b", True)]
+    assert [r.instance_id for r in security.tempdb_encrypted(Facts(fleet, AuditParams(AS_OF))).collect()] == ["b"]
+    assert [r.instance_id for r in Fleet.from_lake(spark, root, AS_OF, lookback_days=30)["databases"].collect()] == ["b"]
+    narrow = table(spark, "instances", [instance("a")]).drop("snapshot_ts").selectExpr("* except (physical_memory_kb)", "cast(physical_memory_kb as int) as physical_memory_kb")
+    write_snapshot(narrow, root, "instances", "2024-05-31 00:00:00")
+    assert [r.physical_memory_kb for r in Fleet.from_lake(spark, root, AS_OF)["instances"].collect()] == [8192]
+
+
 def test_findings_history_is_partitioned(spark, tmp_path):
     frames = {"instances": table(spark, "instances", [instance("a")]), "databases": table(spark, "databases", [database("a", 2, "tempdb", is_encrypted=True, create_date=ts("2023-01-01"))])}
     out = audit("tempdb", Fleet.from_frames(spark, frames), AuditParams(AS_OF))
