@@ -39,7 +39,7 @@ NEED = 0.63  # share of them that two linked sets have in common at least
 INDEXED = 48  # the smallest of them, for the inverted lists
 INDEX_NEED = 0.42
 BLOCK_MEMBERS = 256
-HUB_ROUNDS = 6
+HUB_ROUNDS = 2
 HUB_YIELD = 0.1  # share of a round's pairs that must be linked for another round to pay
 
 
