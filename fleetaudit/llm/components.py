@@ -20,14 +20,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         floor = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
         moved = large.join(floor, F.col("u") == F.col("n"))
         small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(floor.select(F.col("n").alias("u"), F.col("m").alias("v")))
         edges = staged(small.where("u <> v").distinct(), "edges")
         # Stars at last: no node has two smaller neighbours, and nobody's smaller neighbour has one itself.
-        twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-        chained = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
-        if twice.union(chained).isEmpty():
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

@@ -40,7 +40,7 @@ INDEXED = 48  # the smallest of them, for the inverted lists
 INDEX_NEED = 0.42
 BLOCK_MEMBERS = 256
 HUB_ROUNDS = 2
-HUB_YIELD = 0.1  # share of a round's pairs that must be linked for another round to pay
+HUB_YIELD = 0.25  # share of a round's pairs that must be linked for another round to pay
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +122,9 @@ def _enough(shared, a, b, percent: int):
     return F.when(F.greatest(a, b) <= RETAINED, 100 * shared >= percent * (a + b - shared)).otherwise(shared >= F.floor(F.lit(NEED * percent / 80) * fewer))
 
 
-def _rare_lists(drawn: DataFrame, classes: DataFrame) -> DataFrame:
+def _rare_lists(heads: DataFrame) -> DataFrame:
     """``value``, ``id``: each class under the rarest of its indexed values, as many as are needed."""
-    rows = drawn.select("id", "indexed").join(classes.select("id"), "id", "left_semi").select("id", F.size("indexed").alias("k"), F.explode("indexed").alias("value"))
+    rows = heads.select("id", F.size("indexed").alias("k"), F.explode("indexed").alias("value"))
     # Written, so that both sides of the join are plain shuffles and long lists are split.
     length = staged(rows.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
     shared = rows.join(length, "value")
@@ -136,11 +136,15 @@ def _rare_lists(drawn: DataFrame, classes: DataFrame) -> DataFrame:
     return ranked.where(F.col("place") <= F.col("held") - need + 1).select("value", "id")
 
 
-def _verified(pairs: DataFrame, drawn: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches leave the threshold possible."""
+    sketch = heads.select("id", "n", "sketch")
+    possible = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)
+    return pairs.join(sketch.toDF("a", "na", "sa"), "a").join(sketch.toDF("b", "nb", "sb"), "b").where(possible).select("a", "b")
+
+
+def _verified(likely: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    sketch = classes.select("id").join(drawn.select("id", "n", "sketch"), "id")
-    likely = (pairs.join(sketch.toDF("a", "na", "sa"), "a").join(sketch.toDF("b", "nb", "sb"), "b")
-              .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)).select("a", "b"))
     likely = staged(likely, "likely")
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     sets = staged(full_sets(texts.join(wanted, "id", "left_semi"), width), "sets")
@@ -163,7 +167,7 @@ def _stars(named: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def _across(held: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+def _across(held: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a list and whose sketches overlap enough.
 
     ``held``: value, id, component. In each list the largest component is dealt into blocks of its
@@ -173,7 +177,7 @@ def _across(held: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     per = sizes.groupBy("value").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1 and members > 2")  # the hub rounds have settled pairs
     per = per.select("value", F.col("most.component").alias("main"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("deal"))
     lists_of = held.groupBy("id").agg(F.collect_list("value").alias("indexed"))  # a class has at most ``INDEXED``
-    facts = drawn.select("id", "n", "sketch").join(lists_of, "id")
+    facts = heads.select("id", "n", "sketch").join(lists_of, "id")
     rows = held.join(per, "value").join(facts, "id")
     rows = rows.withColumn("is_main", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("deal")).cast("int"))
     # A block has about BLOCK_MEMBERS members, whatever the length of the list.
@@ -188,6 +192,7 @@ def _across(held: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
                 value = batch.column(0)[r].as_py()
                 left, right = _members(batch.column(1)[r].values), _members(batch.column(2)[r].values)
                 likely = _enough(_shared(left["sketch"], right["sketch"]), left["n"][:, None], right["n"], percent)
+                likely &= 100 * np.minimum(left["n"][:, None], right["n"]) >= percent * np.maximum(left["n"][:, None], right["n"])
                 likely &= left["component"][:, None] != right["component"]
                 if likely.any():
                     likely &= _shared(left["indexed"], right["indexed"], value) == 0
@@ -234,20 +239,22 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
         raise ValueError("the sketches are sized for thresholds of 80 percent and more")
     drawn = staged(sketches(df, width, key, text), "sketches")
     classes = staged(drawn.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")), "classes")
+    heads = staged(drawn.join(classes.select("id"), "id", "left_semi").select("id", "n", "indexed", "sketch"), "heads")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    held = staged(_distinct_lists(staged(_rare_lists(drawn, classes), "rare")), "lists")
+    held = staged(_distinct_lists(staged(_rare_lists(heads), "rare")), "lists")
     links, named = None, held.select("value", "id", F.col("id").alias("component"))
     for turn in range(HUB_ROUNDS):
         stars = staged(_stars(named, turn), "stars")
-        new = staged(_verified(stars, drawn, classes, texts, width, percent), "links")
-        links = new if links is None else staged(links.union(new), "links")
-        merged = components(links)
+        new = staged(_verified(_likely(stars, heads, percent), texts, width, percent), "links")
+        # What earlier rounds linked is settled, so their stars stand for it.
+        merged = components(new if links is None else links.union(new))
+        links = merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
         named = held.join(merged, held["id"] == merged["node"], "left").select("value", "id", F.coalesce("component", "id").alias("component"))
         named = staged(named, "named")
         if new.count() < HUB_YIELD * stars.count():
             break
-    more = _verified(_across(named, drawn, percent), drawn, classes, texts, width, percent)
-    found = components(links.union(staged(more, "links")))
+    more = _verified(_across(named, heads, percent), texts, width, percent)
+    found = components(links.union(more))
     named = classes.join(found, classes["id"] == found["node"], "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
     out = drawn.join(named, ["d1", "d2", "n"], "left")
     component = F.coalesce("component_id", "id")
