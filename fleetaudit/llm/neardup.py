@@ -170,8 +170,9 @@ def _stars(named: DataFrame, turn: int) -> DataFrame:
 def _across(held: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a list and whose sketches overlap enough.
 
-    ``held``: value, id, component. In each list the largest component is dealt into blocks of its
-    own, the other members into others; two blocks of the largest component never meet.
+    ``held``: value, id, component. A list of up to ``BLOCK_MEMBERS`` members is one block and meets
+    itself. In a longer one the largest component is dealt into blocks of its own, the other members
+    into others; two blocks of the largest component never meet.
     """
     sizes = held.groupBy("value", "component").agg(F.count("*").alias("n"))
     per = sizes.groupBy("value").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1 and members > 2")  # the hub rounds have settled pairs
@@ -180,20 +181,24 @@ def _across(held: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     facts = heads.select("id", "n", "sketch").join(lists_of, "id")
     rows = held.join(per, "value").join(facts, "id")
     rows = rows.withColumn("is_main", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("deal")).cast("int"))
+    gathered = F.collect_list(F.struct("id", "component", "n", "sketch", "indexed", "is_main"))
+    short = rows.where("deal = 1").groupBy("value").agg(gathered.alias("x"))
     # A block has about BLOCK_MEMBERS members, whatever the length of the list.
-    grouped = staged(rows.groupBy("value", "is_main", "block").agg(F.collect_list(F.struct("id", "component", "n", "sketch", "indexed")).alias("members")), "blocks")
+    grouped = staged(rows.where("deal > 1").groupBy("value", "is_main", "block").agg(gathered.alias("members")), "blocks")
     a = grouped.where("not is_main").select("value", F.col("block").alias("i"), F.col("members").alias("x"))
     b = grouped.select("value", F.col("is_main").alias("m"), F.col("block").alias("j"), F.col("members").alias("y"))
     met = a.join(b, "value").where("m or i <= j").select("value", "x", "y")
+    met = met.union(short.select("value", "x", F.lit(None).cast(met.schema["y"].dataType)))
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 value = batch.column(0)[r].as_py()
-                left, right = _members(batch.column(1)[r].values), _members(batch.column(2)[r].values)
+                left = _members(batch.column(1)[r].values)
+                right = _members(batch.column(2)[r].values) if batch.column(2)[r].is_valid else left
                 likely = _enough(_shared(left["sketch"], right["sketch"]), left["n"][:, None], right["n"], percent)
                 likely &= 100 * np.minimum(left["n"][:, None], right["n"]) >= percent * np.maximum(left["n"][:, None], right["n"])
-                likely &= left["component"][:, None] != right["component"]
+                likely &= (left["component"][:, None] != right["component"]) & ~left["is_main"][:, None]
                 if likely.any():
                     likely &= _shared(left["indexed"], right["indexed"], value) == 0
                 i, j = np.nonzero(likely)
@@ -205,7 +210,7 @@ def _across(held: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 
 def _members(block: pa.StructArray) -> dict:
     """Columns of a block's members; lists as bounds and values."""
-    out = {c: block.field(c).to_numpy() for c in ("id", "component", "n")}
+    out = {c: block.field(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "n", "is_main")}
     for c in ("sketch", "indexed"):
         held = block.field(c)
         bounds = held.offsets.to_numpy()
