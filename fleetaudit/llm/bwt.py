@@ -13,9 +13,9 @@
 Anchors with very many different contexts would overfill a shard; their windows are compared by two
 64-bit hashes instead, as rows that Spark spreads and counts on the map side. Nothing is left out.
 
-Null texts are empty; texts under 200 bytes lose nothing. Rows that share an id and a text repeat each
-other. Of different texts under one id each is judged, and what is found in one is taken at the same
-place in the others. A null id is an id like others. Removal may cut a character of several bytes; the
+Null texts are empty; texts under 200 bytes lose nothing. Every row is judged by its own text, whatever
+its id: rows that share an id and a text repeat each other, and what is found in one text is not taken
+from another of the same id or of none. Removal may cut a character of several bytes; the
 kept bytes are returned as they are.
 """
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stage import staged
-from .repeats import anchors, apply_spans, contexts, covered, documents, groups, order_keys, possibly_in, repeated
+from .repeats import DOC, anchors, apply_spans, contexts, covered, documents, groups, numbered, order_keys, picked, possibly_in, repeated
 from .text import U64, Substrings, map_blocks, text_bytes
 
 WINDOW = 200
@@ -155,27 +155,29 @@ def _context_strings(rows: DataFrame, window: int) -> DataFrame:
             raw = (batch.column(1)[r].as_py() or "").encode()
             starts, counts, keys = (batch.column(c)[r].as_py() for c in (2, 3, 4))
             bodies = [raw[s:s + c - 1 + window] for s, c in zip(starts, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[r].as_py()] * len(starts), pa.int64()), pa.array(starts, pa.int64()),
+            yield pa.RecordBatch.from_arrays([picked(batch.column(0), np.full(len(starts), r)), pa.array(starts, pa.int64()),
                                               pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], ["doc", "start", "key", "body"])
-    return map_blocks(rows, "doc long, start long, key long, body binary", run)
+    return map_blocks(rows, f"{DOC}, start long, key long, body binary", run)
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
     """doc, start, one, two: the windows of the contexts by their hashes."""
     def run(batch):
         offsets, data = text_bytes(batch.column(1))
-        ids, starts, counts = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        starts, counts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         for r in range(batch.num_rows):
             own = data[offsets[r]:offsets[r + 1]]
             at = np.concatenate([np.arange(a, a + c) for a, c in zip(starts[r], counts[r])])
             at = at[at + window <= len(own)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[r])), pa.array(at), *(pa.array(Substrings(own, k).hash(at, at + window).view(np.int64)) for k in (0, 1))],
+            yield pa.RecordBatch.from_arrays([picked(batch.column(0), np.full(len(at), r)), pa.array(at), *(pa.array(Substrings(own, k).hash(at, at + window).view(np.int64)) for k in (0, 1))],
                                              ["doc", "start", "one", "two"])
-    return map_blocks(rows, "doc long, start long, one long, two long", run)
+    return map_blocks(rows, f"{DOC}, start long, one long, two long", run)
 
 
 def _merged(strings: DataFrame, window: int) -> DataFrame:
     """doc, a, b: repeated windows of the contexts, shard by shard."""
+    ids = pa.struct([("id", pa.int64()), ("row", pa.int64())])
+
     def run(batches):
         shard, held = None, []
 
@@ -190,7 +192,7 @@ def _merged(strings: DataFrame, window: int) -> DataFrame:
                         doc += [d] * len(opens)
                         a += (s + at[opens]).tolist()
                         b += (s + at[last] + 1).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(doc, ids), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc", "a", "b"])
 
         for batch in batches:
             names = batch.column(0).to_numpy()
@@ -208,7 +210,7 @@ def _merged(strings: DataFrame, window: int) -> DataFrame:
         if held:
             yield settle()
 
-    return strings.mapInArrow(run, "doc long, a long, b long")
+    return strings.mapInArrow(run, f"{DOC}, a long, b long")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, footprint: int = FOOTPRINT, crowded: int = CROWDED) -> DataFrame:
@@ -242,7 +244,8 @@ def _kept(text: str | None, froms, tos, window: int) -> tuple[np.ndarray, np.nda
 
 def removal_digests(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    spans = repeated_spans(documents(df, key, text), window)
+    rows = numbered(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    spans = repeated_spans(rows.select("id", "text"), window)
 
     def run(batch):
         out = []
@@ -254,5 +257,4 @@ def removal_digests(df: DataFrame, key: str = "doc_id", text: str = "text", wind
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(opens, pa.int64()), pa.array(digest)],
                                          ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return apply_spans(rows, spans, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", "doc_id", "text")
+    return apply_spans(rows, spans, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -13,9 +13,10 @@ contexts differ the windows themselves are compared (by two 64-bit hashes). Wind
 that they hold no symbol of their own, like one word forty times, are compared directly. The first
 occurrence, by document and start, stays.
 
-Null texts have no words. Texts shorter than a window lose nothing. A null id comes after all others.
-Rows that share an id and a text are one document and lose the same words; of different texts under
-one id each is judged, and what is found in one is taken at the same place in the others.
+Null texts have no words. Texts shorter than a window lose nothing. Rows that share an id and a text
+are one document and lose the same words; different texts under one id are different documents, in the
+order of a hash of the text. Rows with a null id come after all others, each a document of its own, in
+the order in which they are read.
 """
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stage import staged
-from .repeats import anchors, apply_spans, contexts, covered, documents, groups, possibly_in, repeated
+from .repeats import DOC, anchors, apply_spans, contexts, covered, groups, numbered, picked, possibly_in, repeated
 from .text import U64, Substrings, Words, blocks, map_blocks, mix, text_bytes
 
 WINDOW = 20
@@ -108,7 +109,7 @@ def _windows(df: DataFrame, window: int) -> DataFrame:
     """doc, start, one, two: hashes of the windows of some groups; rows (id, text, starts, counts)."""
     def run(batch):
         offsets, data = text_bytes(batch.column(1))
-        starts, counts, ids = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(0).to_numpy()
+        starts, counts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         for i, j in blocks(offsets):
             words = Words(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]])
             names = mix(words.hashes)
@@ -119,9 +120,9 @@ def _windows(df: DataFrame, window: int) -> DataFrame:
             owner = np.repeat(np.arange(j - i), [len(a) for a in at])
             start = np.concatenate(at)
             place = start + words.first[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][owner]), pa.array(start), pa.array(one.hash(place, place + window).view(np.int64)),
+            yield pa.RecordBatch.from_arrays([picked(batch.column(0), i + owner), pa.array(start), pa.array(one.hash(place, place + window).view(np.int64)),
                                               pa.array(two.hash(place, place + window).view(np.int64))], ["doc", "start", "one", "two"])
-    return map_blocks(df, "doc long, start long, one long, two long", run)
+    return map_blocks(df, f"{DOC}, start long, one long, two long", run)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -153,7 +154,8 @@ def _kept(text: str | None, froms, tos, window: int) -> tuple[list[bytes], np.nd
 
 def removal_digests(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row: the kept words, joined by one space."""
-    spans = repeated_spans(documents(df, key, text), window)
+    rows = numbered(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    spans = repeated_spans(rows.select("id", "text"), window)
 
     def run(batch):
         out = []
@@ -165,8 +167,7 @@ def removal_digests(df: DataFrame, key: str = "doc_id", text: str = "text", wind
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)],
                                          ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return apply_spans(rows, spans, run, "doc_id long, n_words long, n_removed long, kept_sha256 string", "doc_id", "text")
+    return apply_spans(rows, spans, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -174,7 +175,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     Where words are cut, the kept ones are joined by one space. A text that loses all its words becomes empty.
     """
-    spans = repeated_spans(documents(df, key, text), window)
+    rows = numbered(df, key, text)
+    spans = repeated_spans(rows.select("id", F.col(text).alias("text")), window)
     names, place = df.columns, df.columns.index(text)
 
     def run(batch):
@@ -189,4 +191,4 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
         columns[place] = pa.array(out, pa.string())
         yield pa.RecordBatch.from_arrays(columns, names)
 
-    return apply_spans(df, spans, run, df.schema, key, text)
+    return apply_spans(rows, spans, run, df.schema)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.stage import staged
 from .text import U64, Substrings, blocks, map_blocks, sliding_min, text_bytes
 
-ANCHORS = "doc long, start long, windows int, key long, context long"
+DOC = "doc struct<id: bigint, row: bigint>"
+ANCHORS = f"{DOC}, start long, windows int, key long, context long"
 # Bits of the filter that spares untouched documents a shuffle; its table has this many / 64 rows at most.
 FILTER_BITS = 1 << 23
 LAST = (1 << 63) - 1  # stands for a null id, after all others
@@ -62,17 +63,36 @@ def anchors(df: DataFrame, of_block: Callable) -> DataFrame:
     """Rows of ``ANCHORS`` for the documents (id, text); ``of_block`` gives the groups of a block."""
     def run(batch):
         offsets, data = text_bytes(batch.column(1))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
         for i, j in blocks(offsets):
             doc, start, count, key, context = of_block(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc], pa.int64()), pa.array(start, pa.int64()), pa.array(count.astype(np.int32)),
+            yield pa.RecordBatch.from_arrays([picked(batch.column(0), i + doc), pa.array(start, pa.int64()), pa.array(count.astype(np.int32)),
                                               pa.array(key), pa.array(context)], ["doc", "start", "windows", "key", "context"])
     return map_blocks(df, ANCHORS, run)
 
 
+def picked(ids: pa.StructArray, at: np.ndarray) -> pa.StructArray:
+    """The ids (id, row) of the rows at these places."""
+    fields = ("id", "row")
+    return pa.StructArray.from_arrays([pa.array(ids.field(f).to_numpy(zero_copy_only=False)[at], pa.int64()) for f in fields], list(fields))
+
+
+def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` with ``id``, the order of documents: the key (null as the last), then a number that tells its rows apart.
+
+    Under a key the number is a hash of the text (63 bits, negative), so rows that share both are one
+    document, and it is the same at every reading. Rows without a key are a document each; their numbers
+    (not negative) depend on the place in the files, so these rows are written once.
+    """
+    own = F.col(key).cast("long")
+    by_text = F.xxhash64(F.col(text)).bitwiseOR(F.lit(-(1 << 63)))
+    known = df.where(own.isNotNull()).withColumn("id", F.struct(own.alias("id"), by_text.alias("row")))
+    unknown = df.where(own.isNull()).withColumn("id", F.struct(F.lit(LAST).alias("id"), F.monotonically_increasing_id().alias("row")))
+    return known.unionByName(staged(unknown, "unnamed"))
+
+
 def documents(df: DataFrame, key: str, text: str) -> DataFrame:
-    """id (null as the last) and text."""
-    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
+    """id (see ``numbered``) and text."""
+    return numbered(df.select(key, text), key, text).select("id", F.col(text).alias("text"))
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -117,14 +137,15 @@ def covered(length: int, spans: list[tuple[int, int]], window: int) -> np.ndarra
     return np.cumsum(edge[:-1]) > 0
 
 
-def apply_spans(df: DataFrame, spans: DataFrame, fn: Callable, schema: str, key: str, text: str) -> DataFrame:
-    """``fn(rows)`` over all rows of ``df``, each with the spans (arrays ``froms`` and ``tos``) of its document.
+def apply_spans(rows: DataFrame, spans: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``fn(rows)`` over all rows of a ``numbered`` frame, without their ids, each with the spans (arrays ``froms`` and ``tos``) of its document.
 
-    Only documents that may have spans are shuffled to meet them.
+    Only documents that may have spans are shuffled to meet them. Rows of one document bring the same spans, which count once.
     """
-    per = staged(spans.groupBy("doc").agg(F.collect_list("a").alias("froms"), F.collect_list("b").alias("tos")), "spans")
-    rows = df.withColumn("id", F.coalesce(F.col(key).cast("long"), F.lit(LAST)))
+    per = spans.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    per = staged(per.select("doc", F.col("spans.a").alias("froms"), F.col("spans.b").alias("tos")), "spans")
+    own = [c for c in rows.columns if c != "id"]
     some, none = possibly_in(rows, per)
-    met = some.join(per, some["id"] == per["doc"], "left").select(*df.columns, "froms", "tos")
-    clear = none.select(*df.columns, F.lit(None).cast("array<bigint>").alias("froms"), F.lit(None).cast("array<bigint>").alias("tos"))
+    met = some.join(per, some["id"] == per["doc"], "left").select(*own, "froms", "tos")
+    clear = none.select(*own, F.lit(None).cast("array<bigint>").alias("froms"), F.lit(None).cast("array<bigint>").alias("tos"))
     return map_blocks(met, schema, fn).union(map_blocks(clear, schema, fn))

@@ -311,3 +311,20 @@ def test_repeated_rows_leave_one(spark):
     df = spark.createDataFrame([(1, words(20, 50)), (1, words(20, 50)), (None, words(20, 50)), (2, None), (2, None)], "doc_id long, text string")
     left = rows(neardup.drop_near_duplicates(df))
     assert left == rows(spark.createDataFrame([(1, words(20, 50)), (2, None), (2, None)], "doc_id long, text string"))
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_are_documents_of_their_own(spark):
+    """Same passage at the same place under null ids; clean texts beside it under the same ids stay whole."""
+    texts = [PASSAGE + " " + words(31, 25), PASSAGE + " " + words(32, 25), words(33, 95), words(34, 95), PASSAGE + " " + words(31, 25)]
+    ids = [None, None, None, 1, None]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(1)
+    order = [3, 0, 1, 2, 4]  # nulls last, in the order of reading
+    want = brute_words([texts[i] for i in order], 20)
+    assert rows(recompress.removal_digests(df)) == sorted(((ids[i], *w[1:]) for i, w in zip(order, want)), key=str)
+    left = {t for _, t in rows(recompress.remove_repeats(df))}
+    assert texts[0] in left and texts[2] in left and texts[3] in left and words(32, 25) in left and "" in left
+    assert rows(bwt.removal_digests(df)) == sorted(((i, *w[1:]) for i, w in zip(ids, brute_bytes(texts, 200))), key=str)
+    # Different texts under one id: the passage stays in one of them, whichever, and nothing else is cut.
+    again = spark.createDataFrame([(1, t) for t in texts[:3]] + [(1, texts[2])], "doc_id long, text string")
+    kept = [t for _, t in rows(recompress.remove_repeats(again))]
+    assert kept.count(texts[2]) == 2 and sorted(t for t in kept if t != texts[2]) in (sorted([texts[0], words(32, 25)]), sorted([words(31, 25), texts[1]]))
