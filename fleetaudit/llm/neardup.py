@@ -271,8 +271,8 @@ def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key:
 
     Rows without words are in no group and stay. Only rows that may go are shuffled with their texts.
     """
-    # A row's number depends on its place in the files, so every reading gives the same.
-    rows = df.withColumn("row_number", F.monotonically_increasing_id())
+    # How files are packed into partitions follows the cores of the moment, and with it the numbers: they are written once.
+    rows = staged(df.withColumn("row_number", F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(rows.select("row_number", text), width, percent, "row_number", text).where("n_shingles > 0")
     # Groups of one row need no decision.
     linked = staged(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "groups")

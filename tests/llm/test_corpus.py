@@ -328,3 +328,26 @@ def test_rows_without_an_id_or_with_a_repeated_one_are_documents_of_their_own(sp
     again = spark.createDataFrame([(1, t) for t in texts[:3]] + [(1, texts[2])], "doc_id long, text string")
     kept = [t for _, t in rows(recompress.remove_repeats(again))]
     assert kept.count(texts[2]) == 2 and sorted(t for t in kept if t != texts[2]) in (sorted([texts[0], words(32, 25)]), sorted([words(31, 25), texts[1]]))
+
+
+def test_near_duplicates_go_whatever_the_packing_of_files(spark, tmp_path, monkeypatch):
+    """Files are packed into partitions anew between the jobs, as when an executor joins or is lost."""
+    clean = [words(s, 30 + s % 7) for s in range(40, 60)]
+    texts = clean + [t + " end" for t in clean[::2]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12).write.parquet(str(tmp_path / "docs"))
+    size, turn, write = "spark.sql.files.maxPartitionBytes", [0], neardup.staged
+    before = spark.conf.get(size)
+
+    def moved(df, name):
+        out = write(df, name)
+        turn[0] += 1
+        spark.conf.set(size, ("1k", "64m")[turn[0] % 2])
+        return out
+
+    monkeypatch.setattr(neardup, "staged", moved)
+    try:
+        spark.conf.set(size, "64m")
+        left = rows(neardup.drop_near_duplicates(spark.read.parquet(str(tmp_path / "docs"))))
+    finally:
+        spark.conf.set(size, before)
+    assert left == rows(spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string"))
