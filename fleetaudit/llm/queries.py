@@ -1,14 +1,18 @@
-"""The ten operators bound to the given tables, with production parameters, and SQL where it can say the same."""
+"""The operators bound to the given tables, with production parameters, and SQL where it can say the same."""
 from __future__ import annotations
 
 import os
+import re
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, bwt, fingerprint, langid, mixing, mtree, neardup, quality, recompress, toxicity
+from . import bpe, bwt, bytelevel, fingerprint, infill, langid, mixing, mtree, neardup, periodic, quality, recompress, toxicity
+from .text import map_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +151,92 @@ FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 @query
 def op5_bwt_merge(spark, folder):
     return bwt.removal_digests(_read(spark, folder, "documents"))
+
+
+@query
+def op11_byte_level_bpe(spark, folder):
+    import public_tokenizers
+    path = os.environ.get("LLM_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bytelevel.token_digests(_read(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op12_fill_in_middle(spark, folder):
+    made = infill.restore(infill.fill_in_middle(_read(spark, folder, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+drawn AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+                 CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM hashed),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM drawn),
+formed AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                          WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                  substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM formed
+"""
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; texts of one id in ten have a tail of repeated words, as the contract of the query sets it."""
+    def run(batch):
+        texts = []
+        for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            h = zlib.crc32(b"" if key is None else str(key).encode())
+            words = _WORD.findall(text or "") if h % 10 == 0 else []
+            if words:
+                g, n = h // 10, len(words)
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                text = " ".join(words[:a] + [words[a + i % p] for i in range(n - a)])
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_blocks(docs.select("doc_id", "text"), f"doc_id {kind}, text string", run)
+
+
+@query
+def op13_periodic_runs(spark, folder):
+    found = periodic.periodic_runs(_with_planted_runs(_read(spark, folder, "documents")))
+    best = periodic.longest("runs")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(periodic.listing("runs").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+# Lags are taken from k-grams that recur, k by class of periods (5, 18, 57, ... words; each 3 times the last
+# class's largest period plus 3); every lag found is then compared over the whole document.
+ORACLES["op13_periodic_runs"] = r"""
+WITH RECURSIVE classes(low, k) AS (SELECT CAST(1 AS BIGINT), CAST(5 AS BIGINT) UNION ALL SELECT k + 1, 3 * (k + 1) FROM classes WHERE k < 1000000),
+bytes AS (SELECT doc_id, text, list_transform(range(1, length(coalesce(CAST(doc_id AS VARCHAR), '')) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)) AS b FROM documents),
+hashed AS (SELECT doc_id, text, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)),
+           lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, CAST(3988292384 AS BIGINT)) ELSE y >> 1 END))) AS h FROM bytes),
+split AS (SELECT row_number() OVER () AS id, doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM hashed),
+placed AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN g % len(w) END AS a FROM split),
+docs AS (SELECT id, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END])
+                                    ELSE w END AS w FROM placed),
+words AS (SELECT id, unnest(range(n)) AS i, unnest(w) AS word FROM docs),
+grams AS (SELECT id, low, k, i, hash(array_to_string(w[i + 1:i + k], ' ')) AS gram FROM (SELECT d.id, d.w, c.low, c.k, unnest(range(d.n - c.k + 1)) AS i FROM docs d JOIN classes c ON d.n >= 4 * c.low AND d.n >= c.k)),
+lags AS (SELECT DISTINCT id, lag FROM (SELECT id, low, k, i - lag(i) OVER (PARTITION BY id, k, gram ORDER BY i) AS lag FROM grams) WHERE lag BETWEEN low AND k),
+same AS (SELECT l.id, l.lag, x.i, x.i - row_number() OVER (PARTITION BY l.id, l.lag ORDER BY x.i) AS stretch
+         FROM lags l JOIN words x ON x.id = l.id JOIN words y ON y.id = l.id AND y.i = x.i + l.lag AND y.word = x.word),
+stretches AS (SELECT id, lag, min(i) AS start, count(*) + lag AS length FROM same GROUP BY id, lag, stretch HAVING count(*) + lag >= greatest(6, 4 * lag)),
+runs AS (SELECT id, start, length, min(lag) AS period FROM stretches GROUP BY id, start, length),
+listed AS (SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY id),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY id ORDER BY length DESC, start, period) = 1),
+gone AS (SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (id, i) GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(l.n_runs, 0) AS BIGINT) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length, CAST(b.period AS BIGINT) AS period,
+       CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli, sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed l USING (id) LEFT JOIN best b USING (id) LEFT JOIN kept k USING (id)
+"""
