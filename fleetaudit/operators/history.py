@@ -2,18 +2,31 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import percent_of
 
 
+def of_greatest(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Rows with the greatest ``order`` of their group, all of them where it ties; null only where the group has no other.
+
+    The greatest values come from a hash aggregate of one fixed-width column that combines on the map
+    side, so a hot group costs no more than the others; a semi join then keeps the rows. Wide rows are
+    neither sorted nor carried through an aggregate.
+    """
+    top = df.groupBy(*by).agg(F.max(order).alias(order))
+    same = reduce(Column.__and__, [F.col(f"r.`{c}`").eqNullSafe(F.col(f"t.`{c}`")) for c in (*by, order)])
+    return df.alias("r").join(top.alias("t"), same, "left_semi")
+
+
 def last_by_type_wide(history: DataFrame, keys: Sequence[str], kind: str, kinds: dict[str, str], order: str,
                       payload: Sequence[str]) -> DataFrame:
     """One row per key, with the last row of each kind side by side.
 
-    ``kinds`` maps a stored code to a column prefix. One aggregate serves all kinds and combines
-    on the map side, so a hot key costs no more than the others.
+    ``kinds`` maps a stored code to a column prefix. The last row of each kind is found first
+    (``of_greatest``); the rows are laid side by side from those alone.
     """
     row = F.struct(*payload)
 
@@ -21,14 +34,14 @@ def last_by_type_wide(history: DataFrame, keys: Sequence[str], kind: str, kinds:
         mine = F.col(kind) == code
         return F.max_by(F.when(mine, row), F.when(mine, F.col(order)))
 
-    wide = (history.where(F.col(kind).isin(list(kinds)))
+    wide = (of_greatest(history.where(F.col(kind).isin(list(kinds))), [*keys, kind], order)
             .groupBy(*keys).agg(*[last(c).alias(f"_{p}") for c, p in kinds.items()]))
     return wide.select(*keys, *[F.col(f"_{p}.{c}").alias(f"last_{p}_{c}") for p in kinds.values() for c in payload])
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str]) -> DataFrame:
-    """The row with the greatest ``order`` per key; later columns break ties."""
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.struct(*order)).alias("_best"))
+    """The row with the greatest ``order`` per key; later columns break ties among the rows that are left."""
+    best = of_greatest(df, keys, order[0]).groupBy(*keys).agg(F.max_by(F.struct(*payload), F.struct(*order)).alias("_best"))
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in payload])
 
 

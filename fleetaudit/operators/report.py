@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import as_ts, constant_table, text_of_number
+from ..functions import as_ts, constant_table
 
 # Categories and importance levels: fixed values.
 CATEGORIES = [(0, " "), (1, "Discovery"), (2, "Recoverability"), (3, "Security"), (4, "Availability"),
@@ -41,19 +41,20 @@ def rule_dimension(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
 
 def _filled(template: Column) -> Column:
     text = template
-    for mark, value in (("{database}", F.col("database_name")), ("{object}", F.col("object_name")),
-                        ("{metric}", F.regexp_replace(text_of_number("metric"), r"\.0$", ""))):
+    number = F.regexp_replace(F.col("metric").cast("decimal(28,3)").cast("string"), r"\.?0+$", "")
+    for mark, value in (("{database}", F.col("database_name")), ("{object}", F.col("object_name")), ("{metric}", number)):
         text = F.replace(text, F.lit(mark), F.coalesce(value, F.lit("")))
     return text
 
 
 def report(parts: Sequence[DataFrame], rules: Sequence[Rule], as_of=None, min_importance: int | None = None,
-           discovery: bool = True, order: str = "standard") -> DataFrame:
+           discovery: bool = True, order: str = "standard", title: str = "Fleet audit") -> DataFrame:
     """Union of raw findings with texts, category and importance labels, sorted.
 
     ``order`` is ``standard`` (importance, category, check, issue, database) or ``by_name``
     (importance, name, database, details). ``min_importance`` keeps that level and stronger ones.
-    With ``as_of`` one header row per instance and run (check 100) carries the capture date.
+    With ``as_of`` every row carries the capture date, and one header row (check 0, category 0) with ``title`` stands for
+    the run itself: it is there whatever the filters, also where nothing was found.
     """
     raw = reduce(DataFrame.unionByName, [p.select(*RAW_COLUMNS) for p in parts])
     spark = raw.sparkSession
@@ -78,7 +79,13 @@ def report(parts: Sequence[DataFrame], rules: Sequence[Rule], as_of=None, min_im
         F.coalesce("object_name", F.lit("")).alias("details"), "action_step",
         F.concat(F.lit("docs/checks.md#"), F.col("check_id").cast("string")).alias("read_more_url"), "metric")
     if as_of is not None:
-        out = out.withColumn("captured_on", F.date_format(as_ts(as_of), "MM/dd/yyyy"))
+        day = F.date_format(as_ts(as_of), "MM/dd/yyyy")
+        header = {"category_id": 0, "category": dict(CATEGORIES)[0], "check_id": 0, "importance": 0, "importance_label": dict(IMPORTANCE)[0], "check_name": title,
+                  "issue": F.concat(F.lit("Information captured on "), day), "details": "", "action_step": "Start with the findings of high importance.",
+                  "read_more_url": "docs/checks.md"}
+        first = spark.range(1).select(*[(v if isinstance(v, Column) else F.lit(v)).cast(out.schema[c].dataType).alias(c)
+                                        for c, v in ((c, header.get(c)) for c in out.columns)])
+        out = out.unionByName(first).withColumn("captured_on", day)
     keys = {"standard": ["importance", "category_id", "check_id", "issue", "database_name"],
             "by_name": ["importance", "check_name", "database_name", "details"]}[order]
     return out.orderBy(*keys, "instance_id")

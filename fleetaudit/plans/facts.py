@@ -133,13 +133,13 @@ class Facts:
                                       & ~F.col("is_in_standby") & F.col("source_database_id").isNull())
                  .join(self.instances.select("instance_id", fold("server_name_prop").alias("server_key")), "instance_id")
                  .select("instance_id", "db_key", "server_key", "database_id", F.col("name").alias("current_name")))
-        sets = (scope(self.fleet["backup_sets"], database_name=p.database_name, is_copy_only=p.show_copy_only)
-                .where((F.col("backup_start_date") >= p.range_start) & (F.col("backup_start_date") <= p.range_end))
+        sets = (scope(self.fleet.between("backup_sets", p.range_start, p.range_end), database_name=p.database_name, is_copy_only=p.show_copy_only)
                 .withColumn("db_key", fold("database_name")).withColumn("server_key", fold("server_name")).drop("snapshot_ts"))
-        media = self.fleet["backup_media"].drop("snapshot_ts").withColumn(
+        media = self.fleet.between("backup_media", p.range_start, p.range_end).drop("snapshot_ts").withColumn(
             "device_text", text_for(F.col("device_type"), DEVICE_TYPES, "UNKNOWN"))
         rows = (sets.join(there, ["instance_id", "db_key", "server_key"])
-                .join(scope(media, device_text=p.device_type), ["instance_id", "media_set_id"]))
+                .join(scope(media, device_text=p.device_type), ["instance_id", "media_set_id"])
+                .where("of_set_id IS NULL OR of_set_id = backup_set_id").drop("of_set_id"))
         return self._shared(rows, "history")
 
     @cached_property

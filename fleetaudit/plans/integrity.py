@@ -48,7 +48,7 @@ def suspect_pages(f: Facts) -> DataFrame:
 
 def recent_suspect_pages(f: Facts) -> DataFrame:
     """504 of the health profile: each page of the last 30 days."""
-    recent = f.fleet["suspect_pages"].drop("snapshot_ts").where(F.col("last_update_date") >= f.params.ago("30 DAYS"))
+    recent = f.fleet.between("suspect_pages", f.params.ago("30 DAYS")).drop("snapshot_ts")
     names = f.databases.select("instance_id", "database_id", "name")
     return raw(recent.join(names, ["instance_id", "database_id"]), 504, "name", F.date_format("last_update_date", "yyyy-MM-dd HH:mm:ss"),
                "error_count")

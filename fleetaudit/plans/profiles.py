@@ -36,4 +36,4 @@ def audit(profile: str, fleet: Fleet, params: AuditParams, min_importance: int |
         discovery_rows = profile in ("health", "security") and min_importance is None
     facts = Facts(fleet, params)
     return report(findings_of(profile, facts), rules_for(profile), params.as_of, min_importance, discovery_rows,
-                  "by_name" if profile == "security" else "standard")
+                  "by_name" if profile == "security" else "standard", f"Fleet audit: {profile}")

@@ -65,9 +65,8 @@ def split_chains(f: Facts) -> DataFrame:
 
 def failed_backups(f: Facts, in_range: bool) -> DataFrame:
     """207: failed backup lines with the database they name."""
-    log = f.fleet["error_log"].where(F.col("message").ilike("%BACKUP failed to complete the command BACKUP%"))
-    if in_range:
-        log = log.where((F.col("log_date") >= f.params.range_start) & (F.col("log_date") <= f.params.range_end))
+    log = f.fleet.between("error_log", f.params.range_start, f.params.range_end) if in_range else f.fleet["error_log"]
+    log = log.where(F.col("message").ilike("%BACKUP failed to complete the command BACKUP%"))
     rows = log_extract(log, [
         LogPattern("database", "BACKUP DATABASE ", r"(?s)^(.*?BACKUP DATABASE ([^.]+)\.)", ("issue", "name")),
         LogPattern("log", "BACKUP LOG ", r"(?s)^(.*?BACKUP LOG ([^.]+)\.)", ("issue", "name")),

@@ -173,7 +173,7 @@ def snapshots(f: Facts) -> DataFrame:
 
 def memory_dumps(f: Facts) -> DataFrame:
     """629: dumps of the last 90 days."""
-    recent = f.fleet["memory_dumps"].where(F.col("creation_time") >= f.params.ago("90 DAYS"))
+    recent = f.fleet.between("memory_dumps", f.params.ago("90 DAYS"))
     per = group_threshold(recent, ["instance_id"], {"n": F.count(F.lit(1)), "last_at": F.max("creation_time")}, "n > 0")
     return raw(per, 629, None, F.date_format("last_at", "yyyy-MM-dd HH:mm:ss"), "n")
 

@@ -22,22 +22,25 @@ def _yes_no(flag: str, unknown: str | None = "No", yes: str = "Yes", no: str = "
 
 def backup_summary(f: Facts) -> DataFrame:
     """One row per eligible database: minutes since the last backup, and the last one of each type."""
-    per_set = f.history.groupBy("instance_id", "db_key", "backup_set_id").agg(
+    keys = ["instance_id", "db_key"]
+    # The last set of each type from whole numbers and times alone; only its files are then looked at.
+    per_type = f.history.groupBy(*keys, "type").agg(
+        F.max(F.when(F.col("family_sequence_number") == 1, F.col("backup_set_id"))).alias("backup_set_id"), F.max("backup_start_date").alias("latest"))
+    last_sets = per_type.where(F.col("type").isin(*BACKUP_TYPES) & F.col("backup_set_id").isNotNull()).select(*keys, "backup_set_id")
+    per_set = f.history.join(last_sets, [*keys, "backup_set_id"], "left_semi").groupBy(*keys, "backup_set_id").agg(
         F.count(F.lit(1)).alias("number_of_files"),
         F.max(F.when(F.col("family_sequence_number") == 1, F.struct(
             "type", "is_copy_only", F.col("backup_start_date").alias("start"), F.col("backup_finish_date").alias("finish"),
-            F.col("backup_size").alias("size"), "physical_device_name", "device_text"))).alias("s"),
-        F.max("backup_start_date").alias("latest"))
+            F.col("backup_size").alias("size"), "physical_device_name", "device_text"))).alias("s"))
     sets = per_set.select(
-        "instance_id", "db_key", "backup_set_id", "number_of_files", "latest", F.col("s.type").alias("type"),
+        *keys, "backup_set_id", "number_of_files", F.col("s.type").alias("type"),
         _yes_no("s.is_copy_only").alias("copy_only"), F.col("s.start").alias("start"), F.col("s.finish").alias("finish"),
         seconds_between("s.start", "s.finish").alias("duration_seconds"),
         F.expr("coalesce(try_cast(s.size AS BIGINT) div 1048576, s.size div 1048576)").alias("size_mb"), parent_location("s.physical_device_name", "s.device_text").alias("path"),
         F.col("s.device_text").alias("device_type"))
     payload = ["copy_only", "start", "finish", "duration_seconds", "size_mb", "path", "number_of_files", "device_type"]
-    keys = ["instance_id", "db_key"]
     wide = last_by_type_wide(sets, keys, "type", {"D": "full", "I": "diff", "L": "log"}, "backup_set_id", payload)
-    latest = sets.groupBy(*keys).agg(F.max("latest").alias("latest"))
+    latest = per_type.groupBy(*keys).agg(F.max("latest").alias("latest"))
     out = (f.eligible.select("instance_id", F.col("name").alias("database_name"), fold("name").alias("db_key"), "group_name",
                              "is_preferred_backup_replica", "recovery_model_desc")
            .join(latest, keys, "left").join(wide, keys, "left")
@@ -79,8 +82,8 @@ def backup_chain(f: Facts) -> DataFrame:
             .orderBy("instance_id", "database_name", "group_name", "backup_type", "backup_path"))
 
 
-def _restores(f: Facts) -> DataFrame:
-    return f.fleet["restore_history"].drop("snapshot_ts").withColumn("db_key", fold("destination_database_name"))
+def _restores(f: Facts, start=None, end=None) -> DataFrame:
+    return f.fleet.between("restore_history", start, end).drop("snapshot_ts").withColumn("db_key", fold("destination_database_name"))
 
 
 def last_restore(f: Facts) -> DataFrame:
@@ -93,7 +96,7 @@ def last_restore(f: Facts) -> DataFrame:
 def restore_history(f: Facts) -> DataFrame:
     """Restores, newest first; a date range applies only when set."""
     p = f.params
-    rows = scope(_restores(f), start=("restore_date", p.start), end=("restore_date", p.end))
+    rows = _restores(f, p.start, p.end)
     names = f.databases.select("instance_id", "db_key", F.col("name").alias("database_name"))
     return rows.join(names, ["instance_id", "db_key"]).select(
         "instance_id", "database_name", "restore_date", "user_name", text_for(F.col("restore_type"), RESTORE_TYPES, "Unknown").alias("restore_type"),

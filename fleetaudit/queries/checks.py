@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..params import AuditParams
 from ..plans import Facts, findings_of
+from ..plans.assessment import assess
 from ..plans import availability, discovery, integrity, performance, recoverability, reliability, security
 from ..plans.catalogue import rules_for
 from ..plans.facts import union
@@ -448,15 +449,35 @@ _PROFILE_GROUPS = {
 _EXTRA = {"ag": [617], "backup": [503, 628], "security": [601, 602, 611, 622], "tempdb": [356]}
 
 
-def _profile_sql(profile: str) -> str:
+# Importance by check: fixed values. All other checks have importance 2 (medium).
+_INFORMATIONAL = (*range(100, 121), 198, 199)
+_HIGH = (201, 203, 204, 205, 206, 207, 210, 211, 212, 214, 218, 301, 302, 303, 307, 308, 315, 316, 317, 318, 323, 329, 330, 331, 334, 336, 351, 353, 354,
+         401, 402, 405, 406, 407, 408, 409, 410, 411, 413, 414, 417, 421, 429, 430, 431, 432, 501, 502, 503, 504, 601, 602, 604, 606, 618, 619, 621, 624,
+         628, 629, 630, 631, 632, 707, 708, 709, 711, 712, 713, 714, 718, 719, 721, 722, 723, 724, 725, 729, 730)
+_LOW = (304, 306, 337, 338, 356, 419, 425, 603)
+# Where a profile weighs or files a check differently: (category, importance) as SQL on check and case.
+_OTHERWISE = {"health": ("WHEN check_id = 305 THEN 2", "WHEN check_id = 305 THEN 3"),
+              "security": ("", "WHEN check_id = 212 OR (check_id = 210 AND case_no = 1) THEN 2")}
+
+
+def weighed(profile: str) -> str:
+    """Columns category_id and importance of a finding in a profile, from the lists above."""
+    category, importance = _OTHERWISE.get(profile, ("", ""))
+    return (f"CAST(CASE {category} WHEN TRUE THEN check_id // 100 END AS INTEGER) AS category_id, CAST(CASE {importance} WHEN check_id IN {_INFORMATIONAL} THEN 0 "
+            f"WHEN check_id IN {_HIGH} THEN 1 WHEN check_id IN {_LOW} THEN 3 ELSE 2 END AS INTEGER) AS importance")
+
+
+def profile_statements(profile: str) -> list[str]:
+    """The statements that make up a profile."""
     groups = _statements()
     parts = [s for g in _PROFILE_GROUPS[profile] for s in groups[g] if not (profile == "security" and " CAST(356 AS" in s)]
     pool = groups["reliability_other"] + groups["integrity_health"] + groups["security_databases"]
-    for i in _EXTRA[profile] if profile in _EXTRA else []:
-        parts.append(next(s for s in pool if f" CAST({i} AS" in s))
-    weights = ", ".join(f"({r.check_id}, {r.case_no}, {r.check_id // 100 if r.category is None else r.category}, {r.importance})" for r in rules_for(profile))
-    return (f"SELECT check_id, category_id, importance, count(*) AS findings, count(DISTINCT instance_id) AS instances FROM ({all_of(*parts)}) f "
-            f"JOIN (VALUES {weights}) w(check_id, case_no, category_id, importance) USING (check_id, case_no) GROUP BY check_id, category_id, importance")
+    return parts + [next(s for s in pool if f" CAST({i} AS" in s) for i in _EXTRA.get(profile, [])]
+
+
+def _profile_sql(profile: str) -> str:
+    return (f"SELECT check_id, category_id, importance, count(*) AS findings, count(DISTINCT instance_id) AS instances FROM "
+            f"(SELECT *, {weighed(profile)} FROM ({all_of(*profile_statements(profile))}) f) w GROUP BY check_id, category_id, importance")
 
 
 for _profile in _PROFILE_GROUPS:
@@ -468,3 +489,28 @@ for _profile in _PROFILE_GROUPS:
 
     _summary.__doc__ = f"Findings and instances per check of the whole {_profile} profile."
     query(f"profile_{_profile}", with_tables(_profile_sql(_profile)))(_summary)
+
+
+# Where checks apply and what they need: fixed conditions, stated apart from the plans.
+_GROUP_ONLY = (198, 199, 407, 412, 413, 414, 415, 416, 417, 418, 419, 421, 422, 423, 424, 425, 426, 427, 428, 429, 430, 431, 432, 504, 506)
+_RIGHTS = (106, 118, 304, 420, 502, 505, 609, 610, 611, 622, 724)
+_APPLIES = f"""CASE WHEN check_id IN {_GROUP_ONLY} AND NOT grouped THEN FALSE WHEN check_id IN (418, 423) THEN major >= 13 WHEN check_id = 202 THEN major > 11
+    WHEN check_id = 215 THEN major < 11 WHEN check_id = 344 THEN major >= 11 WHEN check_id IN (210, 212) THEN major >= 12 WHEN check_id = 217 THEN major >= 13
+    WHEN check_id IN (715, 716) THEN major < 13 WHEN check_id = 717 THEN major >= 15 WHEN check_id IN (727, 741) THEN major >= 17
+    WHEN check_id IN (601, 602) THEN NOT managed AND major IN (SELECT num FROM vnames) WHEN check_id = 502 THEN engine_edition IN (2, 3, 8) ELSE TRUE END"""
+_ASSESSMENT = f"""
+SELECT i.instance_id, i.check_id, CAST(i.check_id // 100 AS SMALLINT) AS category_id,
+  CASE WHEN f.check_id IS NOT NULL AND i.check_id >= 200 THEN 'failed' WHEN f.check_id IS NOT NULL THEN 'passed' WHEN NOT applies THEN 'not applicable'
+       WHEN NOT collected_as_sysadmin AND (i.check_id IN {_RIGHTS} OR (i.check_id BETWEEN 301 AND 355 AND i.check_id NOT IN (305, 306, 307, 310))) THEN 'not assessed'
+       WHEN i.check_id < 200 THEN 'not assessed' ELSE 'passed' END AS status
+FROM (SELECT *, {_APPLIES} AS applies FROM (SELECT *, instance_id IN (SELECT instance_id FROM ginst) AS grouped,
+        CAST(unnest(range(100, 121) || [198, 199] || range(201, 219) || range(301, 357) || range(401, 433) || range(501, 507) || range(601, 633) || range(701, 743)) AS INTEGER) AS check_id
+      FROM inst) x) i
+LEFT JOIN (SELECT DISTINCT instance_id, check_id FROM ({all_of(*[s for p in _PROFILE_GROUPS for s in profile_statements(p)])}) y) f ON f.instance_id = i.instance_id AND f.check_id = i.check_id
+"""
+
+
+@query("report_assessment", with_tables(_ASSESSMENT))
+def report_assessment(t: Tables) -> DataFrame:
+    """Every check on every instance: failed, passed, not applicable or not assessed."""
+    return assess(facts_of(t, stage=True))

@@ -33,7 +33,7 @@ COLUMNS: dict[str, str] = {
                    "backup_finish_date timestamp_ntz, backup_size decimal(20,0), compressed_backup_size decimal(20,0), "
                    "media_set_id bigint, user_name string",
     "backup_media": "media_set_id bigint, family_sequence_number int, physical_device_name string, "
-                    "logical_device_name string, device_type int",
+                    "logical_device_name string, device_type int, of_set_id bigint",
     "restore_history": "destination_database_name string, restore_date timestamp_ntz, user_name string, "
                        "restore_type string, replace boolean, recovery boolean, stop_at timestamp_ntz",
     "configurations": "name string, value bigint, value_in_use bigint",

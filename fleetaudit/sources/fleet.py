@@ -4,16 +4,24 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from ..functions import as_ts
 from ..functions.stage import staged
 from ..schemas import COLUMNS, schema_of
 
-# Tables that only grow: a snapshot filter would drop history.
-HISTORY = {"backup_sets", "backup_media", "restore_history", "error_log", "xe_events", "suspect_pages", "page_repairs",
-           "memory_dumps"}
+# Tables that only grow, with the time of their rows: a snapshot filter would drop history.
+EVENT_TIME = {"backup_sets": "backup_start_date", "backup_media": None, "restore_history": "restore_date", "error_log": "log_date",
+              "xe_events": None, "suspect_pages": "last_update_date", "page_repairs": "modification_time", "memory_dumps": "creation_time"}
+# Folders that history may be laid out by, with the first day of the folder a time falls into.
+EVENT_FOLDERS = {"day": "event_date", "month": "event_month"}
+
+
+def event_folder(unit: str, time) -> Column:
+    """The day or the first day of the month of a time."""
+    day = F.to_date(time)
+    return day if unit == "day" else F.trunc(day, "month").cast("date")
 
 
 def align(df: DataFrame, table: str) -> DataFrame:
@@ -28,6 +36,29 @@ def align(df: DataFrame, table: str) -> DataFrame:
     return df.selectExpr(*[column(f.name, f.dataType.simpleString()) for f in schema_of(table).fields])
 
 
+def in_range(df: DataFrame, table: str, start=None, end=None) -> DataFrame:
+    """Rows of a history table from ``start`` to ``end``, both included; a bound that is None does not apply.
+
+    The filter on the rows' time is repeated on the folders that the lake lays history out by, so only
+    those of the range are read. A row lies in the folder of its own time whenever it arrived, so
+    late rows are found. Folders by collection date are cut below only (a day of slack for clocks): nothing is
+    collected before it happens. Rows outside such a layout, and times that are null there, have a null
+    folder and are left to the row filter; the media of a backup have no time but that of their folder.
+    """
+    for bound, keeps in ((start, "__ge__"), (end, "__le__")):
+        if bound is None:
+            continue
+        at = as_ts(bound)
+        if EVENT_TIME[table]:
+            df = df.where(getattr(F.col(EVENT_TIME[table]), keeps)(at))
+        for unit, folder in EVENT_FOLDERS.items():
+            if folder in df.columns:
+                df = df.where(F.col(folder).isNull() | getattr(F.col(folder), keeps)(event_folder(unit, at)))
+        if keeps == "__ge__" and "snapshot_date" in df.columns:
+            df = df.where(F.col("snapshot_date").isNull() | (F.col("snapshot_date") >= F.date_sub(F.to_date(at), 1)))
+    return df
+
+
 def latest_snapshot(df: DataFrame, as_of=None, lookback_days: int | None = None) -> DataFrame:
     """Rows of each instance's last snapshot at or before ``as_of``.
 
@@ -53,19 +84,33 @@ class Fleet:
     """
 
     def __init__(self, spark: SparkSession, reader: Callable[[str], DataFrame | None], stage: Sequence[str] = ()):
-        self.spark, self._reader, self._stage, self._tables = spark, reader, frozenset(stage), {}
+        self.spark, self._reader, self._stage = spark, reader, frozenset(stage)
+        self._sources, self._tables = {}, {}
 
-    def __getitem__(self, table: str) -> DataFrame:
+    def _read(self, table: str) -> DataFrame:
         if table not in COLUMNS:
             raise KeyError(table)
-        if table not in self._tables:
+        if table not in self._sources:
             df = self._reader(table)
-            if df is None:
-                df = self.spark.range(1).where(F.lit(False))  # folds to an empty relation
-            df = align(df, table)
+            self._sources[table] = self.spark.range(1).where(F.lit(False)) if df is None else df  # folds to an empty relation
+        return self._sources[table]
+
+    def __getitem__(self, table: str) -> DataFrame:
+        if table not in self._tables:
+            df = align(self._read(table), table)
             self._tables[table] = staged(df, table) if table in self._stage else df
         return self._tables[table]
 
+    def between(self, table: str, start=None, end=None) -> DataFrame:
+        """A history table in a range of times, read from the folders of the range only (``in_range``)."""
+        if table in self._stage:
+            return in_range(self[table], table, start, end)
+        source = self._read(table)
+        time = EVENT_TIME[table]
+        if source.columns and (time is None or time in source.columns):
+            return align(in_range(source, table, start, end), table)
+        return in_range(self[table], table, start, end)  # an older collector's table, or none
+
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: dict[str, DataFrame]) -> "Fleet":
         return cls(spark, frames.get)
@@ -73,7 +118,8 @@ class Fleet:
     @classmethod
     def from_lake(cls, spark: SparkSession, root: str, as_of=None, lookback_days: int | None = None,
                   fmt: str = "parquet") -> "Fleet":
-        """Tables under ``root/<table>``; snapshot tables are partitioned by ``snapshot_date``.
+        """Tables under ``root/<table>``; snapshot tables are partitioned by ``snapshot_date``, history by
+        ``event_date`` or ``event_month``.
 
         A table without a folder counts as not collected and is empty. Parquet is read with the declared
         columns, so a file that lacks one gives nulls there, a narrower type is widened, and no column of
@@ -84,13 +130,13 @@ class Fleet:
                 source = spark.read.format(fmt)
                 if fmt == "parquet":
                     declared = schema_of(table)
-                    source = source.schema(StructType([*declared.fields, StructField("snapshot_date", DateType())]))
+                    source = source.schema(StructType([*declared.fields, *(StructField(c, DateType()) for c in ("snapshot_date", *EVENT_FOLDERS.values()))]))
                 df = source.load(f"{root.rstrip('/')}/{table}")
             except AnalysisException as e:
                 if e.getCondition() == "PATH_NOT_FOUND":
                     return None
                 raise
-            if table in HISTORY:
+            if table in EVENT_TIME:
                 return df
             return latest_snapshot(df, as_of, lookback_days)
 

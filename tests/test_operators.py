@@ -178,10 +178,11 @@ def test_report_order_levels_and_texts(spark):
              ops.Rule(101, 0, "Server", "{object}", "")]
     out = ops.report([raw], texts, as_of="2024-06-01 12:00:00")
     assert [(r.check_id, r.issue, r.importance_label, r.captured_on) for r in out.collect()] == [
-        (101, "host", "Informational", "06/01/2024"), (203, "x has none", "High", "06/01/2024"), (601, "2016 at 12", "High", "06/01/2024")]
-    assert [r.check_id for r in ops.report([raw], texts, min_importance=1).collect()] == [203, 601]
-    assert [r.check_id for r in ops.report([raw], texts, discovery=False).collect()] == [203, 601]
-    assert [r.check_id for r in ops.report([raw], texts, order="by_name", discovery=False).collect()] == [203, 601]
+        (0, "Information captured on 06/01/2024", "Informational", "06/01/2024"), (101, "host", "Informational", "06/01/2024"), (203, "x has none", "High", "06/01/2024"), (601, "2016 at 12", "High", "06/01/2024"),
+        (999, "Check 999 has no text", "High", "06/01/2024")]
+    assert [r.check_id for r in ops.report([raw], texts, min_importance=1).collect()] == [203, 601, 999]
+    assert [r.check_id for r in ops.report([raw], texts, discovery=False).collect()] == [203, 601, 999]
+    assert [r.check_id for r in ops.report([raw], texts, order="by_name", discovery=False).collect()] == [999, 203, 601]
 
 
 @pytest.mark.parametrize("path, device, want", [

@@ -67,10 +67,29 @@ def test_findings_history_is_partitioned(spark, tmp_path):
     frames = {"instances": table(spark, "instances", [instance("a")]), "databases": table(spark, "databases", [database("a", 2, "tempdb", is_encrypted=True, create_date=ts("2023-01-01"))])}
     out = audit("tempdb", Fleet.from_frames(spark, frames), AuditParams(AS_OF))
     path = str(tmp_path / "findings")
-    write_findings(out, path, AS_OF)
-    write_findings(out, path, "2024-06-08 00:00:00")
-    assert read_findings(spark, path).count() == 2 * out.count()
-    assert sorted(r.check_id for r in read_findings(spark, path, "2024-06-05").collect()) == [356, 603]
+    write_findings(out, path, AS_OF, "tempdb")
+    write_findings(out, path, "2024-06-08 00:00:00", "tempdb")
+    write_findings(out, path, AS_OF, "health")
+    assert read_findings(spark, path).count() == 3 * out.count()
+    assert sorted(r.check_id for r in read_findings(spark, path, "2024-06-05").collect()) == [0, 356, 603]
+    assert "PartitionFilters: [isnotnull(snapshot_date" in read_findings(spark, path, "2024-06-05", "tempdb")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_run_written_again_replaces_itself(spark, tmp_path):
+    """A retry, one that finds less, and one that finds nothing: each leaves one copy of the run and the others as they are."""
+    def run(encrypted: bool):
+        frames = {"instances": table(spark, "instances", [instance("a")]), "databases": table(spark, "databases", [database("a", 2, "tempdb", is_encrypted=encrypted)])}
+        return audit("tempdb", Fleet.from_frames(spark, frames), AuditParams(AS_OF))
+
+    path = str(tmp_path / "findings")
+    write_findings(run(True), path, AS_OF, "tempdb")
+    write_findings(run(True), path, AS_OF, "other")
+    write_findings(run(True), path, AS_OF, "tempdb")
+    assert sorted(r.check_id for r in read_findings(spark, path, run="tempdb").collect()) == [0, 356]
+    write_findings(run(False), path, AS_OF, "tempdb")
+    kept = read_findings(spark, path, run="tempdb").collect()
+    assert [(r.check_id, r.check_name, r.issue, r.instance_id) for r in kept] == [(0, "Fleet audit: tempdb", "Information captured on 06/01/2024", None)]
+    assert read_findings(spark, path, run="other").count() == 2
 
 
 def test_staged_facts_give_the_same_rows(spark):
