@@ -237,6 +237,8 @@ def _shared(x, y, below: int | None = None) -> np.ndarray:
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept, for every row of ``df``.
 
+    Rows without an id belong to the component of the documents with the same set, but link and stand for none: such a row is
+    kept only where no document with an id has its set, and then has no component.
     Shuffled are sketches, retained values and, of classes with a likely partner, their texts.
     ``percent`` must be 80 or more: the bounds on retained values hold from there on.
     """
@@ -263,7 +265,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     named = classes.join(found, classes["id"] == found["node"], "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
     out = drawn.join(named, ["d1", "d2", "n"], "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
+                      F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,14 +275,17 @@ def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key:
     Rows without words are in no group and stay. Only rows that may go are shuffled with their texts.
     """
     # How files are packed into partitions follows the cores of the moment, and with it the numbers: they are written once.
-    rows = staged(df.withColumn("row_number", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(rows.select("row_number", text), width, percent, "row_number", text).where("n_shingles > 0")
+    # The caller's columns travel in one, out of the way of all others.
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own")
+    rows = staged(df.select(F.monotonically_increasing_id().alias("row"), whole), "numbered")
+    texts = rows.select("row", F.col("own")[text].alias("text"))
+    found = near_duplicates(texts, width, percent, "row", "text").where("n_shingles > 0")
     # Groups of one row need no decision.
     linked = staged(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "groups")
     several = linked.where("row <> group").select("group").distinct()
-    members = linked.join(several, "group", "left_semi").join(rows.select(F.col("row_number").alias("row"), F.col(key).alias("own")), "row")
-    order = F.struct(F.col("own").isNull().alias("no_key"), "own", "row")
+    members = linked.join(several, "group", "left_semi").join(rows.select("row", F.col("own")[key].alias("key")), "row")
+    order = F.struct(F.col("key").isNull().alias("no_key"), "key", "row")
     first = members.groupBy("group").agg(F.min(order).alias("first"))
     gone = staged(members.join(first, "group").where("row <> first.row").select(F.col("row").alias("doc")), "gone")
-    some, none = possibly_in(rows.withColumn("id", F.col("row_number")), gone)
-    return some.join(gone, some["id"] == gone["doc"], "left_anti").union(none).select(*df.columns)
+    some, none = possibly_in(rows.withColumnRenamed("row", "id"), gone)
+    return some.join(gone, some["id"] == gone["doc"], "left_anti").union(none).select("own.*")

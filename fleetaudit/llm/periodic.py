@@ -23,19 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, blocks, map_blocks, text_bytes
-
-
-def word_numbers(words: Words, data: np.ndarray) -> np.ndarray:
-    """The same number for the same bytes, within a block."""
-    lengths = words.ends - words.starts
-    letters = np.zeros(len(data) + 1, np.int8)
-    letters[words.starts] += 1
-    letters[words.ends] -= 1
-    inside = np.cumsum(letters[:-1], dtype=np.int8).view(bool)
-    offsets = np.append(0, np.cumsum(lengths)).astype(np.int64)
-    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
-    return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+from .text import Words, blocks, map_blocks, numbered_words, text_bytes
 
 
 class Grams:
@@ -167,7 +155,7 @@ def periodic_runs(df: DataFrame, text: str = "text", key: str = "doc_id", min_le
         for i, j in blocks(offsets):
             part = data[offsets[i]:offsets[j]]
             words = Words(offsets[i:j + 1] - offsets[i], part, hashed=False)
-            rows = runs(word_numbers(words, part), words.first, min_length, min_exponent)
+            rows = runs(numbered_words(part, words.starts, words.ends)[0], words.first, min_length, min_exponent)
             doc, start, length, period = rows.T
             gone = np.zeros(len(words.starts) + 1, np.int64)
             np.add.at(gone, words.first[doc] + start + period, 1)

@@ -53,7 +53,7 @@ def op3_quality_bayes(spark, folder):
 
 @query
 def op6_mixing(spark, folder):
-    mixed = mixing.mix(_read(spark, folder, "documents"), with_text=False)
+    mixed = mixing.mix(_read(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
 
 

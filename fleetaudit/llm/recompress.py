@@ -175,20 +175,23 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     Where words are cut, the kept ones are joined by one space. A text that loses all its words becomes empty.
     """
-    rows = numbered(df, key, text)
-    spans = repeated_spans(rows.select("id", F.col(text).alias("text")), window)
+    # The caller's other columns travel in one, out of the way of all others.
+    others = [c for c in df.columns if c != text]
+    packed = df.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("others"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = numbered(packed, "key", "text")
+    spans = repeated_spans(rows.select("id", "text"), window)
     names, place = df.columns, df.columns.index(text)
 
     def run(batch):
         out = []
-        for t, a, b in zip(*(batch.column(c).to_pylist() for c in (place, len(names), len(names) + 1))):
+        for t, a, b in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):
             if a is not None:
                 words, gone = _kept(t, a, b, window)
                 if gone.any():
                     t = b" ".join(w for w, g in zip(words, gone) if not g).decode()
             out.append(t)
-        columns = list(batch.columns[:len(names)])
-        columns[place] = pa.array(out, pa.string())
+        columns = batch.column(0).flatten()[1:]
+        columns.insert(place, pa.array(out, pa.string()))
         yield pa.RecordBatch.from_arrays(columns, names)
 
     return apply_spans(rows, spans, run, df.schema)

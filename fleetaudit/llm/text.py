@@ -5,6 +5,7 @@ document where that is longer than a block.
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -52,7 +53,11 @@ def _powers(multiplier: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Substrings:
-    """Hashes of any substrings of a sequence, from one prefix sum."""
+    """Hashes of any substrings of a sequence, from one prefix sum.
+
+    A polynomial modulo 2**64: crafted sequences of some hundred symbols and more can share a value, so it
+    is for sequences shorter than that, or where equal values are compared again.
+    """
 
     def __init__(self, symbols: np.ndarray, which: int = 0):
         bits = max(19, int(len(symbols)).bit_length())
@@ -83,6 +88,26 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK, rows: int = 1 << 10) -> Iter
         i = j
 
 
+def numbered_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Number of each word, the same for the same bytes within the block, and the bytes by number."""
+    marks = np.zeros(len(data) + 1, np.int8)
+    marks[starts] += 1
+    marks[ends] -= 1
+    inside = np.cumsum(marks[:-1], dtype=np.int8).view(bool)
+    offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    column = column.dictionary_encode()
+    return column.indices.to_numpy(zero_copy_only=False).astype(np.int64), column.dictionary
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word's bytes. Each different word of the block is hashed once, by a function for which no two
+    words with one value are known; polynomials of the bytes have such words."""
+    number, words = numbered_words(data, starts, ends)
+    own = (hashlib.blake2b(w, digest_size=8).digest() for w in words.to_pylist())
+    return np.frombuffer(b"".join(own), U64)[number]
+
+
 class Words:
     """Words of a block of documents: byte ranges, document of each, 64-bit hashes."""
 
@@ -101,7 +126,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)  # first word of each document, then their number
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         if hashed:
-            self.hashes = Substrings(data).hash(self.starts, self.ends)
+            self.hashes = word_hashes(data, self.starts, self.ends)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
