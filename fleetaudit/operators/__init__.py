@@ -1,5 +1,5 @@
 """Reusable audit operators: DataFrames in, DataFrames out, column names as parameters."""
-from .access import (credential_dictionary_audit, ownership_audit, privilege_audit, resolve_securable,
+from .access import (credential_dictionary_audit, credential_dictionary_join, ownership_audit, privilege_audit, resolve_securable,
                      role_members)
 from .coverage import (first_event, missing_coverage, objective_breach, recent_change,
                        required_set_missing, stale_last_event)
@@ -18,7 +18,7 @@ from .versions import snapshot_of, version_columns, version_gate
 __all__ = [
     "LogPattern", "RowRule", "Rule", "SettingRule", "applicability", "attributes_wide", "backup_detail",
     "chain_report", "compare_cols", "conditional_sum_compare", "contention",
-    "credential_dictionary_audit", "eligible_databases", "first_event", "group_heterogeneity",
+    "credential_dictionary_audit", "credential_dictionary_join", "eligible_databases", "first_event", "group_heterogeneity",
     "group_threshold", "label_dim", "last_by_type_wide", "latest_per_key", "log_extract", "of_greatest",
     "missing_coverage", "next_event_pairing", "objective_breach", "ownership_audit", "pairing_summary",
     "privilege_audit", "ratio_threshold", "recent_change", "reclassify", "report",

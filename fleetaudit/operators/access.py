@@ -70,6 +70,40 @@ def credential_dictionary_audit(logins: DataFrame, candidates: Sequence[tuple[st
     return logins.withColumn("weakness", F.explode(found)).where(F.col("weakness").isNotNull())
 
 
+WORDS_A_CHUNK = 2_000
+LOGINS_A_GROUP = 10_000
+
+
+def credential_dictionary_join(logins: DataFrame, words: DataFrame, name: str = "name", salt: str = "salt", digest: str = "digest",
+                               own_name: str | None = "own name", chunk: int = WORDS_A_CHUNK, group: int = LOGINS_A_GROUP) -> DataFrame:
+    """O27 with a table of words (``weakness``, ``word``) of any size.
+
+    Salted digests leave no way but to hash each word with each salt. Words are dealt to chunks and
+    logins to groups by hash, both of about a fixed size, and each chunk meets each group under a key of the two:
+    a task holds one chunk of words at a time and hashes a bounded block, however long either side is.
+    Logins that share salt and digest are tested once. Null words, salts and digests fit nothing.
+    """
+    own = F.lower(F.col(digest))
+    pairs = logins.select(F.col(salt).cast("string").alias("_salt"), own.alias("_digest")).where("_salt IS NOT NULL AND _digest IS NOT NULL").distinct()
+    listed = words.where(F.col("word").isNotNull()).select("weakness", "word").distinct()
+    chunks, groups = (max(1, -(-df.count() // size)) for df, size in ((listed, chunk), (pairs, group)))
+
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    # A group holds every chunk once; a login meets the chunks of its group.
+    lists = (listed.groupBy(F.pmod(F.xxhash64("word"), F.lit(chunks)).cast("int").alias("_chunk")).agg(F.collect_list(F.struct("weakness", "word")).alias("_words"))
+             .withColumn("_group", numbers(groups)))
+    dealt = pairs.withColumn("_group", F.pmod(F.xxhash64("_salt", "_digest"), F.lit(groups)).cast("int")).withColumn("_chunk", numbers(chunks))
+    fits = F.filter("_words", lambda w: F.sha2(F.concat(F.col("_salt"), w["word"]), 256) == F.col("_digest"))
+    hits = dealt.join(lists, ["_chunk", "_group"]).select("_salt", "_digest", F.explode(fits).alias("_hit")).select("_salt", "_digest", F.col("_hit.weakness").alias("weakness"))
+    found = logins.join(hits, (F.col(salt).cast("string") == F.col("_salt")) & (own == F.col("_digest"))).drop("_salt", "_digest")
+    if own_name:
+        test = F.sha2(F.concat(F.col(salt).cast("string"), F.col(name)), 256) == own
+        found = found.unionByName(logins.where(test).withColumn("weakness", F.lit(own_name)))
+    return found
+
+
 def resolve_securable(permissions: DataFrame, securables: DataFrame, keys: Sequence[str],
                       code: str = "class", object_id: str = "major_id", name: str = "object_name") -> DataFrame:
     """The object's name by class and id, from one long dimension; null when unknown."""

@@ -302,18 +302,23 @@ class Facts:
 
     @cached_property
     def log_facts(self) -> DataFrame:
-        """What single lines of the error log say about an instance, from one scan: the earliest line of
-        three kinds, the number of failed logins, and whether files are initialized instantly."""
-        text = fold("message")
+        """What single lines of the error log say about an instance: the earliest line of three kinds, the
+        number of failed logins, and whether files are initialized instantly."""
+        text, log = fold("message"), self.fleet["error_log"]
+        said = {"log_file_line": "logging sql server messages in file", "version_line": "copyright", "maker_line": "system manufacturer:"}
 
-        def first(contains: str) -> Column:
-            line = F.when(text.contains(contains.lower()), F.col("message"))
+        def first(words: str) -> Column:
+            line = F.when(text.contains(words), F.col("message"))
             return F.min_by(line, F.when(line.isNotNull(), F.struct("log_date", "message")))
 
-        per = self.fleet["error_log"].groupBy("instance_id").agg(
-            first("Logging SQL Server messages in file").alias("log_file_line"), first("Copyright").alias("version_line"),
-            first("System Manufacturer:").alias("maker_line"), F.count_if(text.contains("login failed")).alias("failed_logins"),
+        # Every line feeds two fixed-width cells of a hash aggregate; an instance with no line at all has no row.
+        per = log.groupBy("instance_id").agg(
+            F.count_if(text.contains("login failed")).alias("failed_logins"),
             F.bool_or(text.startswith("database instant file initialization: enabled")).alias("instant_init"))
+        # The texts are taken from the few lines that a start of the server writes.
+        any_of = reduce(Column.__or__, [text.contains(words) for words in said.values()])
+        lines = log.where(any_of).groupBy("instance_id").agg(*[first(words).alias(name) for name, words in said.items()])
+        per = per.join(lines, "instance_id", "left")
         return self._shared(per, "log-facts")
 
     def within(self, expiry: str) -> Column:

@@ -77,10 +77,10 @@ SELECT instance_id, CAST(n AS BIGINT), CASE n WHEN 1 THEN 'master' WHEN 2 THEN '
 FROM (SELECT {_IID}, c_custkey AS k, EACH(1,2,3,4) AS n FROM {{customer}}) s"""
 
 SQL["ag_membership"] = """
-SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, 'dB_' || CAST(o_orderkey AS STRING) AS database_name,
+SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, CASE WHEN o_orderkey % 4 = 1 THEN 'dB_' ELSE 'left_' END || CAST(o_orderkey AS STRING) AS database_name,
   'g' || CAST(o_custkey AS STRING) || '_' || CAST(o_orderkey % 2 AS STRING) AS group_id, 'AG' || CAST(o_orderkey % 2 AS STRING) AS group_name,
   CASE o_orderkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS is_preferred_backup_replica
-FROM {orders} WHERE o_orderkey % 4 = 1"""
+FROM {orders}"""
 
 _SETS = """(SELECT l_orderkey, l_linenumber, max(l_shipdate) AS ship, max(l_quantity) AS qty, max(l_discount) AS disc, max(l_extendedprice) AS price,
   max(l_suppkey) AS supp, max(l_partkey) AS part, count(*) AS files FROM {lineitem} GROUP BY l_orderkey, l_linenumber)"""
@@ -117,12 +117,12 @@ FROM (SELECT l_orderkey, l_linenumber, n, CASE WHEN n = 1 THEN part_lo ELSE part
 INNER JOIN {orders} o ON o_orderkey = l_orderkey"""
 
 SQL["restore_history"] = f"""
-SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, {_DB} AS destination_database_name,
+SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, CASE WHEN o_orderkey % 3 = 1 THEN 'dropped_' ELSE '' END || {_DB} AS destination_database_name,
   o_orderdate + CAST(n * (30 + o_orderkey % 9) AS INTEGER) * INTERVAL '1' DAY AS restore_date, 'restorer' || CAST(n AS STRING) AS user_name,
   CASE (o_orderkey + n) % 8 WHEN 0 THEN 'D' WHEN 1 THEN 'F' WHEN 2 THEN 'G' WHEN 3 THEN 'I' WHEN 4 THEN 'L' WHEN 5 THEN 'V' WHEN 6 THEN 'R' END AS restore_type,
   CASE (o_orderkey + n) % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS replace, CASE (o_orderkey + n) % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN TRUE END AS recovery,
   CASE WHEN n = 2 THEN o_orderdate END AS stop_at
-FROM (SELECT o_custkey, o_orderkey, o_orderdate, EACH(1,2,3) AS n FROM {{orders}} WHERE o_orderkey % 3 <> 1) s"""
+FROM (SELECT o_custkey, o_orderkey, o_orderdate, EACH(1,2,3) AS n FROM {{orders}}) s"""
 
 # Names of instance settings with the values the derived fleet gives them.
 _SETTINGS = [
@@ -248,7 +248,7 @@ SELECT instance_id, CAST(n % 100 AS BIGINT) AS grantee_principal_id, CASE WHEN n
   CASE (k + n) % 4 WHEN 0 THEN 'G' WHEN 1 THEN 'W' WHEN 2 THEN 'D' ELSE 'R' END AS state
 FROM (SELECT {_IID}, c_custkey AS k, EACH(2,3,5,8,102,105,108,203,207,302,303) AS n FROM {{customer}}) s"""
 
-_DBP = "(SELECT instance_id, database_id, name AS database_name, EACH(%s) AS n FROM {databases} WHERE database_id %% 6 IN (0, 1, 4))"
+_DBP = "(SELECT instance_id, database_id, name AS database_name, EACH(%s) AS n FROM {databases})"
 
 SQL["db_principals"] = f"""
 SELECT instance_id, database_name, CAST(n AS BIGINT) AS principal_id,
@@ -304,7 +304,9 @@ SQL["alerts"] = f"""
 SELECT instance_id, 'alert' || CAST(n AS STRING) AS name, CAST(CASE WHEN n < 100 THEN n ELSE 0 END AS INTEGER) AS severity, CAST(CASE WHEN n >= 100 THEN n ELSE 0 END AS INTEGER) AS message_id, (k + n) % 6 <> 0 AS enabled
 FROM (SELECT {_IID}, c_custkey AS k, EACH(19,20,21,22,23,24,25,823,824,825,1205) AS n FROM {{customer}}) s WHERE (k + n) % 7 <> 0"""
 
-_AG = "(SELECT 'I' || CAST(c_custkey AS STRING) AS instance_id, c_custkey AS k, EACH(%s) AS n FROM {customer} WHERE c_custkey %% 2 = 0)"
+# The customers of these segments run availability groups.
+_CLUSTERED = "c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY')"
+_AG = f"(SELECT 'I' || CAST(c_custkey AS STRING) AS instance_id, c_custkey AS k, EACH(%s) AS n FROM {{customer}} WHERE {_CLUSTERED})"
 _GID = "'g' || CAST(k AS STRING) || '_' || CAST(n % 2 AS STRING) AS group_id"
 _GNAME = "'AG' || CAST(n % 2 AS STRING) AS group_name"
 
@@ -325,7 +327,7 @@ SELECT instance_id, {_GID}, 'r' || CAST(k AS STRING) || '_' || CAST(n AS STRING)
   'd' || CAST(o_orderkey AS STRING) AS group_database_id, CAST(5 + o_orderkey AS BIGINT) AS database_id, CASE WHEN (o_orderkey + n) % 9 = 0 THEN NULL ELSE 'ONLINE' END AS database_state_desc,
   CASE (o_orderkey + n) % 4 WHEN 0 THEN NULL WHEN 1 THEN 'SYNCHRONIZING' ELSE 'SYNCHRONIZED' END AS synchronization_state_desc, n < 2 AND k % 3 <> 0 AS is_primary_replica, n < 2 AS is_local, (o_orderkey + n) % 8 <> 0 AS is_database_joined,
   CASE WHEN (o_orderkey + n) % 12 = 5 THEN NULL ELSE (o_orderkey + n) % 10 = 0 END AS is_suspended, (o_orderkey + n) % 6 <> 0 AS is_failover_ready, CASE WHEN (o_orderkey + n) % 5 = 0 THEN NULL ELSE (o_orderkey + n) % 8 END AS secondary_lag_seconds
-FROM (SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, o_custkey AS k, o_orderkey, EACH(0,1,2,3,4,5) AS n FROM {{orders}} WHERE o_custkey % 2 = 0 AND o_orderkey % 4 = 1) s WHERE n % 2 = o_orderkey % 2"""
+FROM (SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, o_custkey AS k, o_orderkey, EACH(0,1,2,3,4,5) AS n FROM {{orders}} INNER JOIN {{customer}} ON c_custkey = o_custkey WHERE {_CLUSTERED}) s WHERE n % 2 = o_orderkey % 2"""
 
 SQL["ag_listeners"] = f"""
 SELECT instance_id, {_GID}, 'l' || CAST(n AS STRING) AS listener_id, {_GNAME}, 'lsn' || CAST(n % 2 AS STRING) || '_' || CAST(k AS STRING) AS dns_name, 1433 AS port, '10.1.' || CAST(n AS STRING) || '.5' AS ip_address, '10.1.0.0' AS subnet_ip, 24 AS subnet_prefix,
@@ -342,20 +344,20 @@ SELECT instance_id, CAST(7 AS BIGINT) AS endpoint_id, 'Hadr_endpoint' AS name, C
 SQL["xe_events"] = """
 SELECT 'I' || CAST(user_id AS STRING) AS instance_id, CASE WHEN event_type = 'view' THEN 'error_reported' ELSE 'availability_replica_state_change' END AS object_name,
   '<event name="x" timestamp="' || replace(CAST(ts - INTERVAL '8216' DAY AS STRING), ' ', 'T') || 'Z"><data name="previous_state"><value>1</value><text>' || event_type || '</text></data><data name="current_state"><value>2</value><text>'
-  || CASE WHEN value < 10 THEN 'RESOLVING_NORMAL' ELSE 'PRIMARY_NORMAL' END || '</text></data><data name="availability_group_name"><value>AG' || CAST(event_id % 5 AS STRING) || '</value></data></event>' AS event_data FROM {events} WHERE user_id % 2 = 0"""
+  || CASE WHEN value < 10 THEN 'RESOLVING_NORMAL' ELSE 'PRIMARY_NORMAL' END || '</text></data><data name="availability_group_name"><value>AG' || CAST(event_id % 5 AS STRING) || '</value></data></event>' AS event_data FROM {events}"""
 
 SQL["wait_stats"] = f"""
 SELECT instance_id, CASE n WHEN 1 THEN 'HADR_SYNC_COMMIT' ELSE 'WRITELOG' END AS wait_type, k * 10 AS wait_time_ms, k % 500 AS waiting_tasks_count FROM (SELECT {_IID}, c_custkey AS k, EACH(1,2) AS n FROM {{customer}}) s"""
 
 SQL["suspect_pages"] = """
-SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, CAST(5 + o_orderkey AS BIGINT) AS database_id, CAST(1 + (l_linenumber + o_orderkey) % 5 AS INTEGER) AS event_type, CAST(l_linenumber AS INTEGER) AS error_count, l_shipdate AS last_update_date
-FROM {lineitem} l INNER JOIN {orders} o ON o_orderkey = l_orderkey WHERE l_orderkey % 12 = 1"""
+SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, CAST(5 + o_orderkey AS BIGINT) AS database_id, CAST(CASE WHEN l_orderkey % 12 = 1 THEN 1 + (l_linenumber + o_orderkey) % 5 ELSE 5 END AS INTEGER) AS event_type, CAST(l_linenumber AS INTEGER) AS error_count, l_shipdate AS last_update_date
+FROM {lineitem} l INNER JOIN {orders} o ON o_orderkey = l_orderkey"""
 
 SQL["page_repairs"] = """
-SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, CAST(5 + o_orderkey AS BIGINT) AS database_id, l_shipdate AS modification_time FROM {lineitem} l INNER JOIN {orders} o ON o_orderkey = l_orderkey WHERE l_orderkey % 14 = 3"""
+SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, CAST(5 + o_orderkey AS BIGINT) AS database_id, l_shipdate AS modification_time FROM {lineitem} l INNER JOIN {orders} o ON o_orderkey = l_orderkey"""
 
 SQL["sessions"] = """
-SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, CAST(50 + o_orderkey AS BIGINT) AS session_id, 'login' || CAST(o_orderkey % 9 AS STRING) AS login_name, 'SELECT ' || o_orderpriority || ' FROM t' || CAST(o_orderkey AS STRING) AS batch_text FROM {orders} WHERE o_orderkey % 5 <> 4"""
+SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, CAST(50 + o_orderkey AS BIGINT) AS session_id, 'login' || CAST(o_orderkey % 9 AS STRING) AS login_name, 'SELECT ' || o_orderpriority || ' FROM t' || CAST(o_orderkey AS STRING) AS batch_text FROM {orders}"""
 
 SQL["session_space"] = """
 SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, CAST(50 + o_orderkey AS BIGINT) AS session_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE floor(o_totalprice / 10) END AS BIGINT) AS user_alloc, CAST(o_orderkey % 50 AS BIGINT) AS user_dealloc,
@@ -377,7 +379,7 @@ SQL["requests"] = """
 SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, CAST(50 + o_orderkey AS BIGINT) AS session_id, CASE o_orderkey % 6 WHEN 0 THEN 'PAGELATCH_SH' WHEN 1 THEN 'PAGELATCH_UP' WHEN 2 THEN 'PAGELATCH_EX' WHEN 3 THEN 'PAGELATCH_KP' WHEN 4 THEN 'PAGEIOLATCH_SH' ELSE 'CXPACKET' END AS wait_type,
   CASE WHEN o_orderkey % 5 = 0 THEN '20' ELSE '2' END || ':' || CAST(1 + o_orderkey % 3 AS STRING) || ':' || CAST(o_orderkey % 40 AS STRING) AS wait_resource, o_orderkey % 4 AS blocking_session_id, 'SELECT' AS command,
   CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 14 END AS INTEGER) AS statement_start, CAST(CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 30 END AS INTEGER) AS statement_end, 'SELECT ' || o_orderpriority || ' FROM t' || CAST(o_orderkey AS STRING) AS batch_text
-FROM {orders} WHERE o_orderkey % 9 <> 8"""
+FROM {orders}"""
 
 SQL["page_info"] = """
 SELECT DISTINCT instance_id, CAST(2 AS BIGINT) AS database_id, CAST(1 + p % 3 AS BIGINT) AS file_id, CAST(p AS BIGINT) AS page_id, 'obj' || CAST(p % 6 AS STRING) AS object_name, CAST(p % 6 AS BIGINT) AS object_id, CAST(p % 2 AS INTEGER) AS index_id,
@@ -387,7 +389,7 @@ FROM (SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, o_orderkey % 40 AS
 SQL["os_memory"] = f"SELECT {_IID}, CAST(8388608 AS BIGINT) AS total_physical_kb, CAST(524288 + (c_custkey % 5) * 262144 AS BIGINT) AS available_physical_kb, CAST(CASE WHEN c_custkey % 3 = 1 THEN 0 ELSE c_custkey * 700 END AS BIGINT) AS locked_page_kb FROM {{customer}}"
 
 SQL["memory_dumps"] = """
-SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, 'dump' || CAST(o_orderkey AS STRING) AS filename, o_orderdate + CAST(30 AS INTEGER) * INTERVAL '1' DAY AS creation_time FROM {orders} WHERE o_orderkey % 3 = 1 AND o_orderdate <= NTZ '2001-07-03 00:00:00'"""
+SELECT 'I' || CAST(o_custkey AS STRING) AS instance_id, 'dump' || CAST(o_orderkey AS STRING) AS filename, o_orderdate + CAST(CASE WHEN o_orderdate <= NTZ '2001-07-03 00:00:00' THEN 30 ELSE 0 END AS INTEGER) * INTERVAL '1' DAY AS creation_time FROM {orders}"""
 
 SQL["cpu_nodes"] = f"SELECT instance_id, CAST(n AS INTEGER) AS node_id, CASE n WHEN 2 THEN 'ONLINE DAC' ELSE 'ONLINE' END AS node_state_desc, CAST(CASE WHEN k % 5 = 0 THEN NULL ELSE n END AS INTEGER) AS memory_node_id FROM (SELECT {_IID}, c_custkey AS k, EACH(0,1,2) AS n FROM {{customer}}) s"
 
@@ -401,7 +403,7 @@ SQL["resource_governor"] = f"SELECT {_IID}, c_custkey % 2 = 1 AS is_enabled FROM
 
 SQL["server_triggers"] = f"SELECT instance_id, CASE n WHEN 1 THEN 'rds_trigger' WHEN 2 THEN 'rdsXtrigger' ELSE 'audit_trigger' END AS name, (k + n) % 4 = 0 AS is_disabled, (k + n) % 5 = 0 AS is_ms_shipped FROM (SELECT {_IID}, c_custkey AS k, EACH(1,2,3) AS n FROM {{customer}}) s"
 
-SQL["change_tracking"] = "SELECT instance_id, database_id FROM {databases} WHERE database_id % 26 = 3"
+SQL["change_tracking"] = "SELECT instance_id, database_id FROM {databases} WHERE is_merge_published"
 
 SQL["xe_sessions"] = f"SELECT instance_id, CASE n WHEN 1 THEN 'AlwaysOn_health' WHEN 2 THEN 'system_health' WHEN 3 THEN 'telemetry_xevents' WHEN 4 THEN 'x$A$y' ELSE 'custom' || CAST(k % 3 AS STRING) END AS name FROM (SELECT {_IID}, c_custkey AS k, EACH(1,2,3,4,5) AS n FROM {{customer}}) s WHERE (k + n) % 3 <> 0"
 

@@ -601,6 +601,26 @@ def o27_dictionary(t: Tables) -> DataFrame:
         "c_custkey", "weakness")
 
 
+@query("o27_dictionary_table", """
+WITH l AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS salt, c_name AS name,
+                  sha256(CAST(c_custkey AS VARCHAR) || CASE c_custkey % 5 WHEN 0 THEN (SELECT min(p_type) FROM part) WHEN 1 THEN c_name WHEN 2 THEN (SELECT max(p_name) FROM part)
+                         ELSE lower(c_mktsegment) END) AS digest FROM customer),
+     w AS (SELECT DISTINCT 'segment' AS weakness, lower(c_mktsegment) AS word FROM customer UNION SELECT DISTINCT 'part type', p_type FROM part UNION SELECT DISTINCT 'part name', p_name FROM part)
+SELECT c_custkey, weakness FROM l JOIN w ON sha256(salt || word) = digest
+UNION ALL SELECT c_custkey, 'own name' FROM l WHERE sha256(salt || name) = digest
+""")
+def o27_dictionary_table(t: Tables) -> DataFrame:
+    """O27 against a table of words: types and names of all parts and the segments."""
+    ends = t.part.agg(F.min("p_type").alias("first"), F.max("p_name").alias("last")).first()
+    salt, n = F.col("c_custkey").cast("string"), F.col("c_custkey") % 5
+    word = F.when(n == 0, ends["first"]).when(n == 1, F.col("c_name")).when(n == 2, ends["last"]).otherwise(F.lower("c_mktsegment"))
+    logins = t.customer.select("c_custkey", F.col("c_name").alias("name"), salt.alias("salt"), F.sha2(F.concat(salt, word), 256).alias("digest"))
+    words = (t.customer.select(F.lit("segment").alias("weakness"), F.lower("c_mktsegment").alias("word"))
+             .unionByName(t.part.select(F.lit("part type").alias("weakness"), F.col("p_type").alias("word")))
+             .unionByName(t.part.select(F.lit("part name").alias("weakness"), F.col("p_name").alias("word"))))
+    return ops.credential_dictionary_join(logins, words).select("c_custkey", "weakness")
+
+
 @query("o28_resolve", """
 SELECT event_id, CAST(event_id % 3 AS INTEGER) AS class, user_id AS major_id,
        CASE event_id % 3 WHEN 0 THEN c_name WHEN 1 THEN s_name ELSE p_name END AS object_name

@@ -59,12 +59,13 @@ def in_range(df: DataFrame, table: str, start=None, end=None) -> DataFrame:
     return df
 
 
-def latest_snapshot(df: DataFrame, as_of=None, lookback_days: int | None = None) -> DataFrame:
+def latest_snapshot(df: DataFrame, as_of=None, lookback_days: int | None = None, resolve_once: bool = False) -> DataFrame:
     """Rows of each instance's last snapshot at or before ``as_of``.
 
     The last time per instance comes from two columns and combines on the map side; the rows are
     then kept by a semi join on (instance, time). Folders of ``snapshot_date`` after ``as_of`` are pruned;
     with ``lookback_days`` those before the window too, and an instance silent for longer is not read.
+    With ``resolve_once`` the last times are written, and of the folders only those that hold one are read.
     """
     if as_of is not None:
         df = df.where(F.col("snapshot_ts") <= as_ts(as_of))
@@ -74,6 +75,12 @@ def latest_snapshot(df: DataFrame, as_of=None, lookback_days: int | None = None)
             if lookback_days is not None:
                 df = df.where(F.col("snapshot_date") >= F.date_sub(day, lookback_days))
     last = df.groupBy("instance_id").agg(F.max("snapshot_ts").alias("snapshot_ts"))
+    if resolve_once:
+        last = staged(last, "last-snapshots")
+        if "snapshot_date" in df.columns:
+            # As many days as there are folders at most. Rows outside the layout have no day.
+            days = [r[0] for r in last.where("snapshot_ts IS NOT NULL").select(F.to_date("snapshot_ts")).distinct().collect()]
+            df = df.where(F.col("snapshot_date").isin(days) | F.col("snapshot_date").isNull())
     return df.join(last, ["instance_id", "snapshot_ts"], "left_semi")
 
 
@@ -85,20 +92,24 @@ class Fleet:
 
     def __init__(self, spark: SparkSession, reader: Callable[[str], DataFrame | None], stage: Sequence[str] = ()):
         self.spark, self._reader, self._stage = spark, reader, frozenset(stage)
-        self._sources, self._tables = {}, {}
+        self._sources, self._tables, self._absent = {}, {}, set()
 
     def _read(self, table: str) -> DataFrame:
         if table not in COLUMNS:
             raise KeyError(table)
         if table not in self._sources:
             df = self._reader(table)
-            self._sources[table] = self.spark.range(1).where(F.lit(False)) if df is None else df  # folds to an empty relation
+            if df is None:
+                self._absent.add(table)
+                df = self.spark.range(1).where(F.lit(False))  # folds to an empty relation
+            self._sources[table] = df
         return self._sources[table]
 
     def __getitem__(self, table: str) -> DataFrame:
         if table not in self._tables:
-            df = align(self._read(table), table)
-            self._tables[table] = staged(df, table) if table in self._stage else df
+            source = self._read(table)
+            df = align(source, table)
+            self._tables[table] = staged(df, table) if table in self._stage and table not in self._absent else df
         return self._tables[table]
 
     def between(self, table: str, start=None, end=None) -> DataFrame:
@@ -117,13 +128,16 @@ class Fleet:
 
     @classmethod
     def from_lake(cls, spark: SparkSession, root: str, as_of=None, lookback_days: int | None = None,
-                  fmt: str = "parquet") -> "Fleet":
+                  fmt: str = "parquet", resolve_once: bool = False) -> "Fleet":
         """Tables under ``root/<table>``; snapshot tables are partitioned by ``snapshot_date``, history by
         ``event_date`` or ``event_month``.
 
         A table without a folder counts as not collected and is empty. Parquet is read with the declared
         columns, so a file that lacks one gives nulls there, a narrower type is widened, and no column of
         a newer file is lost. Other formats keep their own schema and are cast.
+
+        With ``resolve_once`` the snapshot of each table is looked up and written on first use, for runs in
+        which many rules read a table: every later reading is one plain scan of the current rows.
         """
         def read(table: str) -> DataFrame | None:
             try:
@@ -138,6 +152,6 @@ class Fleet:
                 raise
             if table in EVENT_TIME:
                 return df
-            return latest_snapshot(df, as_of, lookback_days)
+            return latest_snapshot(df, as_of, lookback_days, resolve_once)
 
-        return cls(spark, read)
+        return cls(spark, read, [t for t in COLUMNS if t not in EVENT_TIME] if resolve_once else ())

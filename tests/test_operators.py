@@ -220,3 +220,40 @@ def test_union_of_fleets_and_partitioning_change_nothing(spark):
     parts = [rows(ops.next_event_pairing(events.where(F.col("k") % 2 == p), *args), "k", "ts", "end_at") for p in (0, 1)]
     assert whole == sorted(parts[0] + parts[1], key=str)
     assert whole == rows(ops.next_event_pairing(events.repartition(13), *args), "k", "ts", "end_at")
+
+
+def test_dictionary_of_any_size(spark):
+    """100,000 words against plain Python; small chunks and groups give the same; words, salts and digests may be null."""
+    import hashlib
+
+    def digest(salt, word):
+        return hashlib.sha256((salt + word).encode()).hexdigest().upper()
+
+    logins = [("blank", "s1", digest("s1", "")), ("word", "s2", digest("s2", "w99999")), ("own", "s3", digest("s3", "own")), ("strong", "s4", digest("s4", "?!")),
+              ("twin", "s2", digest("s2", "w99999")), ("twice", "s5", digest("s5", "w7")), ("none", None, digest("", "w1")), ("nothing", "s6", None)]
+    df = spark.createDataFrame(logins, "name string, salt string, digest string")
+    words = spark.range(100_000).select(F.lit("list").alias("weakness"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
+    more = spark.createDataFrame([("blank", ""), ("other list", "w7"), ("list", "w7"), ("null", None)], "weakness string, word string")
+    want = [("blank", "blank"), ("own", "own name"), ("twice", "list"), ("twice", "other list"), ("twin", "list"), ("word", "list")]
+    assert sorted(rows(ops.credential_dictionary_join(df, words.unionByName(more)), "name", "weakness")) == want
+    few = words.where("id IN (7, 99999)").unionByName(more)
+    assert sorted(rows(ops.credential_dictionary_join(df, few, chunk=1, group=1), "name", "weakness")) == want
+    assert rows(ops.credential_dictionary_join(df, few.where("false"), own_name=None), "name", "weakness") == []
+
+
+def test_log_facts_sort_no_line_but_the_few_of_a_start(spark):
+    from helpers import facts, ts
+
+    def line(iid, at, message):
+        return dict(instance_id=iid, log_date=ts(at), message=message)
+
+    f = facts(spark, {"instances": [], "error_log": [
+        line("a", "2024-06-01 00:00:02", "Copyright (C) two"), line("a", "2024-06-01 00:00:01", "COPYRIGHT (C) one on Windows"), line("a", "2024-06-01 00:00:00", "Login failed for user x"),
+        line("a", "2024-06-01 00:00:03", "System Manufacturer: 'M', System Model: 'N'."), line("b", "2024-06-01 00:00:00", "Database Instant File Initialization: enabled."), line("c", "2024-06-01 00:00:00", None)]})
+    got = {r.instance_id: (r.version_line, r.maker_line, r.log_file_line, r.failed_logins, r.instant_init) for r in f.log_facts.collect()}
+    assert got == {"a": ("COPYRIGHT (C) one on Windows", "System Manufacturer: 'M', System Model: 'N'.", None, 1, False), "b": (None, None, None, 0, True), "c": (None, None, None, 0, None)}
+    lines = f.log_facts._jdf.queryExecution().sparkPlan().toString().splitlines()
+    for n, text in enumerate(lines):
+        if "SortAggregate" in text:
+            assert any("Filter" in x and "copyright" in x for x in lines[n:]), text
+    assert any("HashAggregate" in x and "count" in x for x in lines)
