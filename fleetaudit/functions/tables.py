@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 MAX_CONSTANT_ROWS = 2_000
 
@@ -26,7 +27,7 @@ def constant_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -
     """Local relation from literal rows; ``schema`` is a DDL string such as ``a int, b string``."""
     if not 0 < len(rows) <= MAX_CONSTANT_ROWS:
         raise ValueError(f"a constant table holds 1 to {MAX_CONSTANT_ROWS} rows, got {len(rows)}")
-    fields = [part.strip().split(None, 1) for part in schema.split(",")]
+    fields = [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(schema).fields]
     values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
     casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
     names = ", ".join(name for name, _ in fields)
