@@ -100,12 +100,42 @@ def numbered_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return column.indices.to_numpy(zero_copy_only=False).astype(np.int64), column.dictionary
 
 
+class _Digests(dict):
+    """Hash of each word seen, kept up to a bound and then started anew; this changes speed only."""
+
+    KEPT = 1 << 18
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.KEPT:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
+_digests = _Digests()
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes. Each different word of the block is hashed once, by a function for which no two
-    words with one value are known; polynomials of the bytes have such words."""
+    """64-bit hash of each word's bytes.
+
+    Up to seven bytes are the value themselves, with their number in the eighth, scrambled one to one: different
+    words differ. Longer words of the block are looked up once each, under a function for which no two words with one value are
+    known; polynomials of the bytes have such words.
+    """
     number, words = numbered_words(data, starts, ends)
-    own = (hashlib.blake2b(w, digest_size=8).digest() for w in words.to_pylist())
-    return np.frombuffer(b"".join(own), U64)[number]
+    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    lengths, held = np.diff(offsets), words.buffers()[2]
+    raw = np.zeros((held.size if held else 0) + 8, np.uint8)
+    if held:
+        raw[:held.size] = np.frombuffer(held, np.uint8)
+    lanes = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    short = lengths < 8
+    size = lengths[short].astype(U64)
+    out = np.empty(len(words), U64)
+    out[short] = mix(lanes[offsets[:-1][short]] & ((U64(1) << size * U64(8)) - U64(1)) | size << U64(56))
+    long = np.flatnonzero(~short)
+    out[long] = np.fromiter(map(_digests.__getitem__, words.take(pa.array(long)).to_pylist()), U64, len(long))
+    return out[number]
 
 
 class Words:
