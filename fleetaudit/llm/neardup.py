@@ -109,22 +109,25 @@ def _distinct_lists(held: DataFrame) -> DataFrame:
     return held.join(keep, "value", "left_semi")
 
 
-def _enough(shared, a, b, percent: int):
-    """Whether two sketches leave the threshold possible; never false for a linked pair but by a rare chance.
+def _enough(shared, a, b, percent: int, hidden=0):
+    """Whether two sketches leave the threshold possible; never false for a linked pair but, where sets exceed their sketch, by a rare chance.
 
-    Works on columns and arrays alike: ``a`` and ``b`` are the set sizes, ``shared`` the common values.
+    Works on columns and arrays alike: ``a`` and ``b`` are the set sizes, ``shared`` the common values, ``hidden`` how many
+    more may be common because values of one set fell together in its sketch.
     """
     if isinstance(shared, np.ndarray):
         fewer = np.minimum(np.minimum(a, b), RETAINED)
         whole = np.maximum(a, b) <= RETAINED
-        return np.where(whole, 100 * shared >= percent * (a + b - shared), shared >= np.floor(NEED * percent / 80 * fewer))
+        most = shared + hidden
+        return np.where(whole, 100 * most >= percent * (a + b - most), shared >= np.floor(NEED * percent / 80 * fewer))
     fewer = F.least(a, b, F.lit(RETAINED))
-    return F.when(F.greatest(a, b) <= RETAINED, 100 * shared >= percent * (a + b - shared)).otherwise(shared >= F.floor(F.lit(NEED * percent / 80) * fewer))
+    most = shared + hidden
+    return F.when(F.greatest(a, b) <= RETAINED, 100 * most >= percent * (a + b - most)).otherwise(shared >= F.floor(F.lit(NEED * percent / 80) * fewer))
 
 
 def _rare_lists(heads: DataFrame) -> DataFrame:
-    """``value``, ``id``: each class under the rarest of its indexed values, as many as are needed."""
-    rows = heads.select("id", F.size("indexed").alias("k"), F.explode("indexed").alias("value"))
+    """``value``, ``id``, ``n``: each class with its set size under the rarest of its indexed values, as many as are needed."""
+    rows = heads.select("id", "n", F.size("indexed").alias("k"), F.explode("indexed").alias("value"))
     # Written, so that both sides of the join are plain shuffles and long lists are split.
     length = staged(rows.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
     shared = rows.join(length, "value")
@@ -133,13 +136,14 @@ def _rare_lists(heads: DataFrame) -> DataFrame:
     # Values that no other class has come first in the order and make no list.
     need = F.greatest(F.lit(1), F.floor(F.col("k") * INDEX_NEED))
     ranked = shared.withColumn("place", F.row_number().over(order)).withColumn("held", F.count("*").over(every))
-    return ranked.where(F.col("place") <= F.col("held") - need + 1).select("value", "id")
+    return ranked.where(F.col("place") <= F.col("held") - need + 1).select("value", "id", "n")
 
 
 def _likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches leave the threshold possible."""
+    """The pairs (a, b) whose sketches leave the threshold possible."""
     sketch = heads.select("id", "n", "sketch")
-    possible = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)
+    hidden = F.least(F.col("na") - F.size(F.array_distinct("sa")), F.col("nb") - F.size(F.array_distinct("sb")))
+    possible = _enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent, hidden)
     return pairs.join(sketch.toDF("a", "na", "sa"), "a").join(sketch.toDF("b", "nb", "sb"), "b").where(possible).select("a", "b")
 
 
@@ -153,17 +157,17 @@ def _verified(likely: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _stars(named: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each list's hub with the members of other components; another hub each turn.
+def _stars(named: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each list's hub with the members of other components whose sizes leave the threshold possible; another hub each turn.
 
     The hub is the member of smallest hash, of the first turn the smallest id, so lists with much the
     same members mostly have the same hub.
     """
     order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    sizes = named.groupBy("value", "component").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("order"), "id")).alias("low"))
-    hubs = sizes.groupBy("value").agg(F.max(F.struct("n", "component", "low")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    hubs = staged(hubs.select("value", F.col("most.component").alias("main"), F.col("most.low.id").alias("hub")), "hubs")
-    pairs = named.join(hubs, "value").where("component <> main")
+    sizes = named.groupBy("value", "component").agg(F.count("*").alias("members"), F.min(F.struct(order.alias("order"), "id", "n")).alias("low"))
+    hubs = sizes.groupBy("value").agg(F.max(F.struct("members", "component", "low")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    hubs = staged(hubs.select("value", F.col("most.component").alias("main"), F.col("most.low.id").alias("hub"), F.col("most.low.n").alias("hub_n")), "hubs")
+    pairs = named.join(hubs, "value").where((F.col("component") != F.col("main")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
@@ -177,6 +181,7 @@ def _across(held: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     sizes = held.groupBy("value", "component").agg(F.count("*").alias("n"))
     per = sizes.groupBy("value").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1 and members > 2")  # the hub rounds have settled pairs
     per = per.select("value", F.col("most.component").alias("main"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("deal"))
+    held = held.drop("n")
     lists_of = held.groupBy("id").agg(F.collect_list("value").alias("indexed"))  # a class has at most ``INDEXED``
     facts = heads.select("id", "n", "sketch").join(lists_of, "id")
     rows = held.join(per, "value").join(facts, "id")
@@ -196,7 +201,8 @@ def _across(held: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
                 value = batch.column(0)[r].as_py()
                 left = _members(batch.column(1)[r].values)
                 right = _members(batch.column(2)[r].values) if batch.column(2)[r].is_valid else left
-                likely = _enough(_shared(left["sketch"], right["sketch"]), left["n"][:, None], right["n"], percent)
+                hidden = np.minimum(_hidden(left)[:, None], _hidden(right))
+                likely = _enough(_shared(left["sketch"], right["sketch"]), left["n"][:, None], right["n"], percent, hidden)
                 likely &= 100 * np.minimum(left["n"][:, None], right["n"]) >= percent * np.maximum(left["n"][:, None], right["n"])
                 likely &= (left["component"][:, None] != right["component"]) & ~left["is_main"][:, None]
                 if likely.any():
@@ -218,6 +224,14 @@ def _members(block: pa.StructArray) -> dict:
     return out
 
 
+def _hidden(members: dict) -> np.ndarray:
+    """Values of each member's set that fell together with another in its sketch, where the sketch holds the whole set."""
+    bounds, values = members["sketch"]
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    distinct = np.bincount(np.unique(of.astype(np.int64) << 32 | values.astype(np.int64) & 0xFFFFFFFF) >> 32, minlength=len(bounds) - 1)
+    return np.maximum(members["n"] - distinct, 0)
+
+
 def _shared(x, y, below: int | None = None) -> np.ndarray:
     """Number of values that each list of ``x`` shares with each of ``y``, of those under ``below``."""
     common = np.intersect1d(x[1], y[1])
@@ -249,14 +263,14 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     heads = staged(drawn.join(classes.select("id"), "id", "left_semi").select("id", "n", "indexed", "sketch"), "heads")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     held = staged(_distinct_lists(staged(_rare_lists(heads), "rare")), "lists")
-    links, named = None, held.select("value", "id", F.col("id").alias("component"))
+    links, named = None, held.select("value", "id", "n", F.col("id").alias("component"))
     for turn in range(HUB_ROUNDS):
-        stars = staged(_stars(named, turn), "stars")
+        stars = staged(_stars(named, turn, percent), "stars")
         new = staged(_verified(_likely(stars, heads, percent), texts, width, percent), "links")
         # What earlier rounds linked is settled, so their stars stand for it.
         merged = components(new if links is None else links.union(new))
         links = merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        named = held.join(merged, held["id"] == merged["node"], "left").select("value", "id", F.coalesce("component", "id").alias("component"))
+        named = held.join(merged, held["id"] == merged["node"], "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
         named = staged(named, "named")
         if new.count() < HUB_YIELD * stars.count():
             break
