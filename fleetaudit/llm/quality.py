@@ -1,7 +1,7 @@
 """Quality by hierarchical empirical Bayes: document evidence with host and path posteriors.
 
 1. A logistic classifier on simple text features gives each document a probability of good quality.
-   It is fitted by Newton steps on a bounded sample of labelled rows; only features reach the driver.
+   It is fitted by Newton steps on a bounded sample of different labelled rows; only features reach the driver.
 2. Hosts and paths gather the evidence of their documents (the label where there is one, else the
    probability) by grouped sums. A host's rate shrinks toward the global rate, a path's toward its
    host's, each by a strength estimated from the spread between sites by moments: sparse sites stay
@@ -10,7 +10,7 @@
 
 A null host or path is a site of its own. Null and empty texts have zero features. Without labelled
 rows of both kinds every probability is one half and all is kept. Several labels of one key count as
-their mean; repeated rows count as often as they occur.
+their mean; repeated rows count as often as they occur in the rates and once in the fit.
 """
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ FEATURES = ("length", "upper", "digit", "mark", "point", "line", "wide", "word",
 
 @dataclass(frozen=True)
 class Settings:
-    max_rows: int = 20_000  # labelled rows in the fit, those with the smallest hash of the key
+    max_rows: int = 20_000  # different labelled rows in the fit, those with the smallest hash of key and features
     steps: int = 25
     ridge: float = 1.0
     keep_from: float = 0.5
@@ -96,6 +96,18 @@ def _features(df: DataFrame, place: int) -> DataFrame:
     return map_blocks(df, f"key {df.schema['key'].dataType.simpleString()}, host string, path string, features array<double>", run)
 
 
+def _sample(rows: DataFrame, most: int) -> list:
+    """The different rows of smallest ``order``, ``most`` at the most.
+
+    One count tells the share of hash values that holds a quarter more than ``most`` rows; only rows of that share
+    are sorted, so what the tasks send does not grow with their number. Where rows repeat, fewer may remain.
+    """
+    share = 1.25 * most / max(rows.count(), 1)
+    if share < 1:
+        rows = rows.where(F.col("order") <= F.lit(int(share * (1 << 64)) - (1 << 63)))
+    return rows.groupBy("order", "key", "features", "label").count().orderBy("order", "key", "features").limit(most).collect()
+
+
 def score(df: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text",
           label: str = "quality", how: Settings = Settings()) -> DataFrame:
     """Per row of ``df``: key, evidence, host_rate, path_rate, score, keep.
@@ -106,8 +118,7 @@ def score(df: DataFrame, labels: DataFrame, host: Column, path: Column, key: str
     rows = df.select(F.col(key).alias("key"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text).alias("text"))
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.avg(F.col(label).cast("double")).alias("label"))
     marked = staged(_features(rows, 3).join(known, "key", "left"), "quality-features")
-    sample = (marked.where("label is not null").select(F.xxhash64("key").alias("order"), "key", "features", "label")
-              .orderBy("order", "key", "features").limit(how.max_rows).collect())
+    sample = _sample(marked.where("label is not null").select(F.xxhash64("key", "features").alias("order"), "key", "features", "label"), how.max_rows)
     y = np.array([r["label"] for r in sample])
     weights = fit(np.array([r["features"] for r in sample]), y, how) if len(y) and y.min() < 0.5 <= y.max() else np.zeros(1 + 2 * len(FEATURES))
 
