@@ -2,8 +2,10 @@
 
 1. Each 200-byte window is routed by an anchor, the smallest hash of a 64-byte string inside it (see
    ``repeats``). Strings whose anchor occurs once cannot repeat; equal contexts repeat as a whole.
-2. The contexts left, different ones under a shared anchor, go to shards by anchor. A shard's contexts
-   arrive in blocks; each block gets its Burrows-Wheeler transform (rotations of its strings, sorted).
+2. The contexts left, different ones under a shared anchor, go to shards by anchor. A shard cuts them to
+   the windows that may have an equal elsewhere: a window holds one of ``PIECES`` stretches around its
+   anchor, so where no other context has that stretch, no window with it repeats (``shared_parts``). What
+   is left makes blocks; each gets its Burrows-Wheeler transform (rotations of its strings, sorted).
 3. A shard merges the transforms of its blocks by interleave refinement: one vector says from which
    block each place of the merged order comes. A round reads the blocks' symbols (two bytes at once)
    in that order and deals the vector out again by symbol, stably; after d rounds the order is right
@@ -33,7 +35,9 @@ from .text import U64, Substrings, map_blocks, text_bytes
 
 WINDOW = 200
 FOOTPRINT = 64
-SHARD_CONTEXTS = 2_000  # on average
+SHARD_CONTEXTS = 500  # on average
+BLOCK_CONTEXTS = 128
+PIECES = 8
 CROWDED = 1_000  # different contexts under one anchor beyond which windows are compared as rows
 
 
@@ -144,6 +148,38 @@ def repeated_starts(shard: list[list[bytes]], window: int = WINDOW) -> list[list
     return out
 
 
+def shared_parts(bodies: list[bytes], keys: np.ndarray, window: int = WINDOW, footprint: int = FOOTPRINT, pieces: int = PIECES) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows of each context that may occur in another context; last < first where none may.
+
+    Equal windows have their anchor at the same place. With ``x`` to ``y`` bytes before it, a window holds the stretch from
+    ``x`` bytes before the anchor to ``window - footprint - y`` behind it. ``keys``: hashes of the anchors.
+    """
+    spare = window - footprint
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    base = np.append(0, np.cumsum(sizes))
+    text = Substrings(np.frombuffer(b"".join(bodies), np.uint8))
+    last, base = sizes - window, base[:-1]
+    # The anchor is the first place of its hash that all windows of the context hold.
+    room = spare - last + 1
+    owner = np.repeat(np.arange(len(bodies)), room)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(room) - room, room) + last[owner]
+    at = base[owner] + place
+    hits = np.flatnonzero(text.hash(at, at + footprint).view(np.int64) == keys[owner])
+    found, first = np.unique(owner[hits], return_index=True)
+    anchor = np.full(len(bodies), -1)
+    anchor[found] = place[hits[first]]
+    low, high = np.where(anchor < 0, 0, window), np.where(anchor < 0, last, -1)
+    edges = np.arange(pieces + 1) * (spare + 1) // pieces
+    for x, y in zip(edges[:-1], edges[1:] - 1):
+        a, b = np.maximum(anchor - y, 0), np.minimum(anchor - x, last)
+        own = np.flatnonzero((anchor >= 0) & (a <= b))
+        start = base[own] + anchor[own]
+        _, which, count = np.unique(text.hash(start - x, start + window - y), return_inverse=True, return_counts=True)
+        own = own[count[which] > 1]
+        low[own], high[own] = np.minimum(low[own], a[own]), np.maximum(high[own], b[own])
+    return low, high
+
+
 def _rows(some: DataFrame, per: DataFrame) -> DataFrame:
     return some.join(per, some["id"] == per["doc"]).select("id", "text", "starts", "counts", "keys")
 
@@ -174,41 +210,42 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     return map_blocks(rows, f"{DOC}, start long, one long, two long", run)
 
 
-def _merged(strings: DataFrame, window: int) -> DataFrame:
-    """doc, a, b: repeated windows of the contexts, shard by shard."""
+def _merged(strings: DataFrame, window: int, footprint: int) -> DataFrame:
+    """doc, a, b: repeated windows of the contexts, shard by shard; rows (shard, doc, start, key, body)."""
     ids = pa.struct([("id", pa.int64()), ("row", pa.int64())])
 
+    def settle(held: list[pa.RecordBatch]):
+        docs, starts, keys, bodies = (pa.chunked_array([h.column(c) for h in held]) for c in (1, 2, 3, 4))
+        bodies = bodies.to_pylist()
+        low, high = shared_parts(bodies, keys.to_numpy(), window, footprint)
+        left = np.flatnonzero(low <= high)
+        parts = [bodies[i][low[i]:high[i] + window] for i in left]
+        blocks = [parts[k:k + BLOCK_CONTEXTS] for k in range(0, len(parts), BLOCK_CONTEXTS)]
+        found = [at for block in repeated_starts(blocks, window) for at in block] if blocks else []
+        names, starts = docs.take(pa.array(left)).to_pylist(), starts.to_numpy()[left] + low[left]
+        doc, a, b = [], [], []
+        for d, s, at in zip(names, starts, found):
+            if len(at):
+                opens = np.flatnonzero(np.append(True, np.diff(at) > 1))
+                last = np.append(opens[1:], len(at)) - 1
+                doc += [d] * len(opens)
+                a += (s + at[opens]).tolist()
+                b += (s + at[last] + 1).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(doc, ids), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc", "a", "b"])
+
     def run(batches):
         shard, held = None, []
-
-        def settle():
-            found = repeated_starts([h[2] for h in held], window)
-            doc, a, b = [], [], []
-            for (docs, starts, _), blocks_found in zip(held, found):
-                for d, s, at in zip(docs, starts, blocks_found):
-                    if len(at):
-                        opens = np.flatnonzero(np.append(True, np.diff(at) > 1))
-                        last = np.append(opens[1:], len(at)) - 1
-                        doc += [d] * len(opens)
-                        a += (s + at[opens]).tolist()
-                        b += (s + at[last] + 1).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(doc, ids), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc", "a", "b"])
-
         for batch in batches:
             names = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+            edges = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else []
             for i, j in zip(edges, np.append(edges[1:], len(names))):
                 if names[i] != shard:
                     if held:
-                        yield settle()
+                        yield settle(held)
                     shard, held = names[i], []
-                part = batch.slice(i, j - i)
-                # Blocks of a shard: bounded runs of its contexts.
-                for k in range(0, j - i, 512):
-                    cut = part.slice(k, 512)
-                    held.append((cut.column(1).to_pylist(), cut.column(2).to_pylist(), cut.column(3).to_pylist()))
+                held.append(batch.slice(i, j - i))
         if held:
-            yield settle()
+            yield settle(held)
 
     return strings.mapInArrow(run, f"{DOC}, a long, b long")
 
@@ -229,8 +266,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, footprint: int = FOOTP
     # One representative of each context stands for all its occurrences, which ``whole`` has settled.
     shards = each.where(f"rivals between 2 and {crowded}").count() // SHARD_CONTEXTS + 1
     strings = _context_strings(chosen(f"rivals between 2 and {crowded}"), window)
-    dealt = strings.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "doc", "start", "body").repartition("shard").sortWithinPartitions("shard", "doc", "start")
-    some = _merged(dealt, window)
+    dealt = strings.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "doc", "start", "key", "body").repartition("shard").sortWithinPartitions("shard", "doc", "start")
+    some = _merged(dealt, window, footprint)
     rows = staged(_windows(chosen(f"rivals > {crowded}"), window), "windows")
     often = rows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
     single = rows.join(often, ["one", "two"], "left_semi").select("doc", F.col("start").alias("a"), (F.col("start") + 1).alias("b"))

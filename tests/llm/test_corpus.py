@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fleetaudit.llm import bpe, bwt, fingerprint, langid, mixing, mtree, neardup, quality, recompress, toxicity
+from fleetaudit.llm.text import Substrings
 from fleetaudit.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -162,6 +163,29 @@ def test_merge_of_transforms():
     assert [[list(x) for x in b] for b in got] == [[[p for p in range(len(s) - 7) if seen[s[p:p + 8]] > 1] for s in b] for b in shard]
 
 
+def test_parts_that_may_repeat_lose_no_window():
+    rng = np.random.default_rng(5)
+    window, anchor, bodies = 20, b"ANCHOR", []
+    for _ in range(200):
+        count = int(rng.integers(1, 13))
+        place = int(rng.integers(count - 1, 15))
+        sides = [bytes(rng.choice([97, 98], k, p=[0.9, 0.1]).astype(np.uint8)) for k in (place, count - 1 + window - place - 6)]
+        bodies.append(sides[0] + anchor + sides[1])
+    bodies = list(dict.fromkeys(bodies))
+    starts = [range(len(b) - window + 1) for b in bodies]
+    seen = {}
+    for b, at in zip(bodies, starts):
+        for p in at:
+            seen[b[p:p + window]] = seen.get(b[p:p + window], 0) + 1
+    keys = np.repeat(Substrings(np.frombuffer(anchor, np.uint8)).hash(np.array([0]), np.array([6])).view(np.int64), len(bodies))
+    again = [[p for p in at if seen[b[p:p + window]] > 1] for b, at in zip(bodies, starts)]
+    for pieces in (1, 2, 4, 15):
+        low, high = bwt.shared_parts(bodies, keys, window, 6, pieces)
+        assert all(low[i] <= p <= high[i] for i, at in enumerate(again) for p in at)
+    # Pieces of one place each are whole windows.
+    assert any(again) and all((low[i] > high[i]) if not at else (low[i], high[i]) == (at[0], at[-1]) for i, at in enumerate(again))
+
+
 def brute_words(texts, window):
     split, seen, out = [WORD.findall(t or "") for t in texts], set(), []
     for i, w in enumerate(split):
