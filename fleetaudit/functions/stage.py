@@ -2,11 +2,15 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and read it back.
@@ -14,6 +18,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Worth it where several plans start from one costly join or aggregate: each then reads just its
     columns, and a lost executor costs a re-read, not a re-derivation.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder.get() or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own, not made yet, in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staged_in(folder: str):
+    """Tables staged meanwhile go to this folder, so that they can be discarded together."""
+    token = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of staged tables that no plan reads any more, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
