@@ -1,6 +1,8 @@
 """Words made to collide, callers' columns of any name, rows without an id, the whole pipeline."""
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,16 @@ def test_mix_of_many_sources_and_rows_without_an_id(spark):
     assert len(mixing.sized(docs.where("doc_id is null")).select("slice").distinct().collect()) > 10
     assert sorted(tuple(r) for r in mixing.training_order(docs).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect() if r[0]) == \
         sorted((s, round(want[s])) for s in order if s)
+
+
+def test_stage_tables_go_when_nothing_reads_them(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "a", passage), (2, "a", passage + " more")], "doc_id long, source string, text string")
+    stages, at = dict(corpus_pipeline.STAGES), str(tmp_path)
+    cut = stages["substring_dedup"](spark, docs, at)
+    (_, folder), = next(v for k, v in corpus_pipeline._left.items() if k[2] == at)
+    stages["mix_sources"](spark, cut, at)  # still reads them
+    assert os.path.isdir(folder)
+    cut.write.parquet(f"{at}/cut")
+    assert stages["bpe"](spark, spark.read.parquet(f"{at}/cut"), at).count() == 2
+    assert not os.path.exists(folder)
