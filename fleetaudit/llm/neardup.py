@@ -2,18 +2,19 @@
 
 1. Every document's set of word shingles is hashed once. Equal sets form a class; only one document
    of each class goes on, so copies cost nothing further.
-2. The k smallest hashes of a class are its sketch. Inverted lists of the smallest 48 show which
-   classes overlap. Two sets with a Jaccard similarity of 0.8 share at least ``need`` of their k
-   smallest hashes but for a chance of about one in a hundred million (need = 20 of 48, 120 of 192),
-   so a class needs only its rarest values: all but need - 1, in the order of list length. Values with
-   short lists come first, so frequent shingles make no candidates.
-3. Lists may be long (thousands of near copies). First rounds pair each member with one hub of the
-   list; what these pairs link is contracted, and other hubs follow while that pays. The last round takes the lists that still hold several
-   components, and compares blocks of members across components, never within one; a pair counts in
-   the smallest value that indexes both.
-4. Pairs whose sketches (192 values) share less than the need go; sets that their sketches hold whole
-   are compared by all they have. The rest are verified on their full shingle sets. Verified pairs make
-   components.
+2. The k smallest hashes of a class, in order, are its sketch. Lists are kept under runs of ``RUN``
+   hashes that follow each other in it, not under single ones, so that sets which share frequent shingles
+   only do not meet. Two sets with a Jaccard similarity of 0.8 have such a run in common: among the hashes of
+   both, at least four are shared for each that is not, so where both sets are held whole (the run may go on
+   from the last hash to the first) one always exists; among the ``INDEXED`` smallest of larger sets none does
+   with a chance of less than one in a hundred million.
+3. Members of a list of up to ``SHORT`` are compared with each other. A longer list (thousands of near
+   copies) compares each member with one hub; what these pairs link is contracted, and the lists that still
+   hold several components compare blocks of members across components, never within one; a pair counts
+   in the smallest value that indexes both.
+4. Sets that their sketches (192 values) hold whole are settled by them; a block gives no more of such links than
+   connect its components. Other pairs whose sketches share less than the need go, the rest are verified on
+   their full shingle sets. Verified pairs make components.
 
 Words are runs of other characters than ASCII white space, A-Z in lower case. A text with fewer
 words than a shingle is one shingle; a text without words (or null) has an empty set and is linked
@@ -26,21 +27,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stage import staged
+from ..functions.stage import discard, folder_within, staged, staged_in
 from .components import components
 from .repeats import possibly_in
-from .text import LOWER, U64, Words, blocks, lists, map_blocks, mix, text_bytes
+from .text import LOWER, U64, Words, blocks, lists, map_blocks, mix, ragged, text_bytes
 
 RETAINED = 192  # values of the sketch, for the estimate
 NEED = 0.63  # share of them that two linked sets have in common at least
-INDEXED = 48  # the smallest of them, for the inverted lists
-INDEX_NEED = 0.42
+INDEXED = 96  # the smallest of them, for the lists
+RUN = 4  # of them in a row make a value that lists are kept under
+SHORT = 8
 BLOCK_MEMBERS = 256
-HUB_ROUNDS = 2
-HUB_YIELD = 0.25  # share of a round's pairs that must be linked for another round to pay
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +64,7 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int) -> tuple[np.
 
 
 def sketches(df: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``n`` (set size), ``d1``, ``d2`` (digest of the set), ``indexed`` and ``sketch`` of every document.
-
-    The sketch keeps 32 bits of each value, enough to compare two sketches; the lists use all bits.
-    """
+    """``id``, ``n`` (set size), ``d1``, ``d2`` (digest of the set) and ``sketch`` (its smallest hashes in order) of every document."""
     def run(batch):
         offsets, data = text_bytes(batch.column(1))
         for i, j in blocks(offsets):
@@ -77,15 +74,36 @@ def sketches(df: DataFrame, width: int, key: str = "doc_id", text: str = "text")
             for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
                 total = np.append(U64(0), np.cumsum(mix(values.astype(U64) + U64(salt))))
                 digests.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-            columns = [batch.column(0)[i:j], pa.array(n), pa.array(digests[0]), pa.array(digests[1])]
-            for keep, kind in ((INDEXED, pa.int64()), (RETAINED, pa.int32())):
-                take = np.minimum(n, keep)
-                held = values[np.repeat(first[:-1], take) + (np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take))]
-                held = held if keep == INDEXED else mix(held.astype(U64)).astype(np.uint32).view(np.int32)
-                columns.append(lists(np.append(0, np.cumsum(take)), held, kind))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "indexed", "sketch"])
+            take = np.minimum(n, RETAINED)
+            held = lists(np.append(0, np.cumsum(take)), values[ragged(first[:-1], take)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(n), pa.array(digests[0]), pa.array(digests[1]), held], ["id", "n", "d1", "d2", "sketch"])
     return map_blocks(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")),
-                      "id long, n long, d1 long, d2 long, indexed array<long>, sketch array<int>", run)
+                      "id long, n long, d1 long, d2 long, sketch array<long>", run)
+
+
+def run_values(first: np.ndarray, values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each run of ``RUN`` hashes of the sketches values[first[i]:first[i + 1]], and how many each sketch has.
+
+    Sets of up to ``INDEXED`` are whole and go on from their last hash to the first. Under ``RUN`` shingles no other set is alike enough.
+    """
+    number = np.where(n < RUN, 0, np.where(n <= INDEXED, n, INDEXED - RUN + 1))
+    place, base, size = ragged(np.zeros(len(n), np.int64), number), np.repeat(first[:-1], number), np.repeat(n, number)
+    out = np.zeros(len(place), U64)
+    for k in range(RUN):
+        out = mix(out * U64(0x9E6C63D0876A9A47) + values[base + (place + k) % size].astype(U64))
+    return out.view(np.int64), number
+
+
+def _runs(heads: DataFrame) -> DataFrame:
+    """``value``, ``id``, ``n``: each class with its set size under the runs of its sketch."""
+    def run(batch):
+        for at in range(0, batch.num_rows, 1 << 11):
+            part = batch.slice(at, 1 << 11)
+            ids, n, held = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2)
+            first = held.offsets.to_numpy().astype(np.int64)
+            values, number = run_values(first - first[0], held.flatten().to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.repeat(ids, number)), pa.array(np.repeat(n, number))], ["value", "id", "n"])
+    return map_blocks(heads.select("id", "n", "sketch"), "value long, id long, n long", run)
 
 
 def full_sets(df: DataFrame, width: int) -> DataFrame:
@@ -98,93 +116,78 @@ def full_sets(df: DataFrame, width: int) -> DataFrame:
     return map_blocks(df.select("id", "text"), "id long, shingles array<long>", run)
 
 
-def _distinct_lists(held: DataFrame) -> DataFrame:
-    """``held`` without lists of one member, and of lists with the same members only that of the smallest value.
+def _lists(heads: DataFrame) -> DataFrame:
+    """``value``, ``id``, ``n``, ``members``: the lists of several members; of those with the same members only that of the smallest value.
 
     A pair's smallest common value always stays: a list of the same members under a smaller value would hold the pair too.
     """
+    rows = _runs(heads)
+    # Written, so that both sides of the join are plain shuffles and long lists are split.
+    several = staged(rows.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value"), "values")
+    rows = staged(rows.join(several, "value", "left_semi"), "rows")
     mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
-    per = held.groupBy("value").agg(F.count("*").alias("members"), *mark).where("members > 1")
-    keep = staged(per.groupBy("members", "mark1", "mark2").agg(F.min("value").alias("value")).select("value"), "values")
-    return held.join(keep, "value", "left_semi")
+    per = rows.groupBy("value").agg(F.count("*").alias("members"), *mark)
+    keep = staged(per.groupBy("members", "mark1", "mark2").agg(F.min("value").alias("value")).select("value", "members"), "kept")
+    return rows.join(keep, "value")
 
 
-def _enough(shared, a, b, percent: int, hidden=0):
-    """Whether two sketches leave the threshold possible; never false for a linked pair but, where sets exceed their sketch, by a rare chance.
+def _sizes_fit(a, b, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    Works on columns and arrays alike: ``a`` and ``b`` are the set sizes, ``shared`` the common values, ``hidden`` how many
-    more may be common because values of one set fell together in its sketch.
-    """
-    if isinstance(shared, np.ndarray):
-        fewer = np.minimum(np.minimum(a, b), RETAINED)
-        whole = np.maximum(a, b) <= RETAINED
-        most = shared + hidden
-        return np.where(whole, 100 * most >= percent * (a + b - most), shared >= np.floor(NEED * percent / 80 * fewer))
-    fewer = F.least(a, b, F.lit(RETAINED))
-    most = shared + hidden
-    return F.when(F.greatest(a, b) <= RETAINED, 100 * most >= percent * (a + b - most)).otherwise(shared >= F.floor(F.lit(NEED * percent / 80) * fewer))
-
-
-def _rare_lists(heads: DataFrame) -> DataFrame:
-    """``value``, ``id``, ``n``: each class with its set size under the rarest of its indexed values, as many as are needed."""
-    rows = heads.select("id", "n", F.size("indexed").alias("k"), F.explode("indexed").alias("value"))
-    # Written, so that both sides of the join are plain shuffles and long lists are split.
-    length = staged(rows.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
-    shared = rows.join(length, "value")
-    order = Window.partitionBy("id").orderBy("length", "value")
-    every = Window.partitionBy("id")
-    # Values that no other class has come first in the order and make no list.
-    need = F.greatest(F.lit(1), F.floor(F.col("k") * INDEX_NEED))
-    ranked = shared.withColumn("place", F.row_number().over(order)).withColumn("held", F.count("*").over(every))
-    return ranked.where(F.col("place") <= F.col("held") - need + 1).select("value", "id", "n")
 
+def _first_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) whose sizes leave the threshold possible: all of the short lists, those with the smallest id of longer ones."""
+    short = held.where(f"members <= {SHORT}").select("value", "id", "n")
+    each = short.toDF("value", "a", "na").join(short.toDF("value", "b", "nb"), "value").where(F.col("a") < F.col("b"))
+    long = held.where(f"members > {SHORT}")
+    hubs = staged(long.groupBy("value").agg(F.min(F.struct("id", "n")).alias("low")).select("value", F.col("low.id").alias("a"), F.col("low.n").alias("na")), "hubs")
+    stars = long.select("value", F.col("id").alias("b"), F.col("n").alias("nb")).join(hubs, "value").where("a <> b")
+    fit = [x.where(_sizes_fit("na", "nb", percent)).select("a", "b", "na", "nb") for x in (each, stars)]
+    return fit[0].union(fit[1]).distinct()
 
-def _likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches leave the threshold possible."""
-    sketch = heads.select("id", "n", "sketch")
-    hidden = F.least(F.col("na") - F.size(F.array_distinct("sa")), F.col("nb") - F.size(F.array_distinct("sb")))
-    possible = _enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent, hidden)
-    return pairs.join(sketch.toDF("a", "na", "sa"), "a").join(sketch.toDF("b", "nb", "sb"), "b").where(possible).select("a", "b")
+
+def _likely(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave the threshold possible, and whether they are ``sure``: both sets held whole."""
+    sketch = near.select("id", "sketch")
+    both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    whole = F.greatest("na", "nb") <= RETAINED
+    linked = 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
+    possible = F.col("shared") >= F.floor(F.lit(NEED * percent / 80) * F.least("na", "nb", F.lit(RETAINED)))
+    return both.where(F.when(whole, linked).otherwise(possible)).select("a", "b", whole.alias("sure"))
 
 
 def _verified(likely: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) that are sure or whose full sets reach the threshold."""
     likely = staged(likely, "likely")
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    sets = staged(full_sets(texts.join(wanted, "id", "left_semi"), width), "sets")
-    both = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    unsure = likely.where("not sure").select("a", "b")
+    wanted = staged(unsure.select(F.col("a").alias("id")).union(unsure.select("b")).distinct(), "wanted")
+    some = possibly_in(texts, wanted.select(F.col("id").alias("doc")))[0]
+    sets = staged(full_sets(some.join(wanted, "id", "left_semi"), width), "sets")
+    both = unsure.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    reached = both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return staged(reached.union(likely.where("sure").select("a", "b")), "links")
 
 
-def _stars(named: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of each list's hub with the members of other components whose sizes leave the threshold possible; another hub each turn.
+def _open_lists(named: DataFrame) -> DataFrame:
+    """``value``, ``main`` (the largest component) and ``deal`` (into how many blocks its members go) of lists that hold several components."""
+    sizes = named.groupBy("value", "component").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("value").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1")
+    return per.select("value", F.col("most.component").alias("main"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("deal"))
 
-    The hub is the member of smallest hash, of the first turn the smallest id, so lists with much the
-    same members mostly have the same hub.
-    """
-    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    sizes = named.groupBy("value", "component").agg(F.count("*").alias("members"), F.min(F.struct(order.alias("order"), "id", "n")).alias("low"))
-    hubs = sizes.groupBy("value").agg(F.max(F.struct("members", "component", "low")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    hubs = staged(hubs.select("value", F.col("most.component").alias("main"), F.col("most.low.id").alias("hub"), F.col("most.low.n").alias("hub_n")), "hubs")
-    pairs = named.join(hubs, "value").where((F.col("component") != F.col("main")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
+def _across(named: DataFrame, per: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, sure) of different components that share a list and whose sketches overlap enough.
 
-def _across(held: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a list and whose sketches overlap enough.
-
-    ``held``: value, id, component. A list of up to ``BLOCK_MEMBERS`` members is one block and meets
-    itself. In a longer one the largest component is dealt into blocks of its own, the other members
-    into others; two blocks of the largest component never meet.
+    ``named``: value, id, n, component; ``per``: see ``_open_lists``. A list of up to ``BLOCK_MEMBERS`` members is one block and
+    meets itself. In a longer one the largest component is dealt into blocks of its own, the other members
+    into others; two blocks of the largest component never meet. Of the sure pairs of two blocks enough
+    come out to connect the components that they connect, and no unsure one between those.
     """
-    sizes = held.groupBy("value", "component").agg(F.count("*").alias("n"))
-    per = sizes.groupBy("value").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1 and members > 2")  # the hub rounds have settled pairs
-    per = per.select("value", F.col("most.component").alias("main"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("deal"))
-    held = held.drop("n")
+    held = staged(named.join(per, "value"), "open")
     lists_of = held.groupBy("id").agg(F.collect_list("value").alias("indexed"))  # a class has at most ``INDEXED``
-    facts = heads.select("id", "n", "sketch").join(lists_of, "id")
-    rows = held.join(per, "value").join(facts, "id")
+    facts = near.select("id", "sketch").join(lists_of, "id")
+    rows = held.join(facts, "id")
     rows = rows.withColumn("is_main", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("deal")).cast("int"))
     gathered = F.collect_list(F.struct("id", "component", "n", "sketch", "indexed", "is_main"))
     short = rows.where("deal = 1").groupBy("value").agg(gathered.alias("x"))
@@ -201,17 +204,41 @@ def _across(held: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
                 value = batch.column(0)[r].as_py()
                 left = _members(batch.column(1)[r].values)
                 right = _members(batch.column(2)[r].values) if batch.column(2)[r].is_valid else left
-                hidden = np.minimum(_hidden(left)[:, None], _hidden(right))
-                likely = _enough(_shared(left["sketch"], right["sketch"]), left["n"][:, None], right["n"], percent, hidden)
-                likely &= 100 * np.minimum(left["n"][:, None], right["n"]) >= percent * np.maximum(left["n"][:, None], right["n"])
-                likely &= (left["component"][:, None] != right["component"]) & ~left["is_main"][:, None]
-                if likely.any():
-                    likely &= _shared(left["indexed"], right["indexed"], value) == 0
-                i, j = np.nonzero(likely)
-                ids, others = left["id"][i], right["id"][j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, others)), pa.array(np.maximum(ids, others))], ["a", "b"])
-
-    return met.mapInArrow(run, "a long, b long").distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_between(left, right, value, percent)], ["a", "b", "sure"])
+
+    return met.mapInArrow(run, "a long, b long, sure boolean").distinct()
+
+
+def links_between(left: dict, right: dict, value: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids a < b of likely pairs of two blocks of the list of ``value``, and which are sure; see ``_across``."""
+    one, other = left["n"][:, None], right["n"]
+    fit = (100 * np.minimum(one, other) >= percent * np.maximum(one, other)) & (left["component"][:, None] != right["component"]) & ~left["is_main"][:, None]
+    if fit.any():
+        shared = _shared(left["sketch"], right["sketch"])
+        whole = np.maximum(one, other) <= RETAINED
+        possible = shared >= np.floor(NEED * percent / 80 * np.minimum(np.minimum(one, other), RETAINED))
+        fit &= np.where(whole, 100 * shared >= percent * (one + other - shared), possible)
+    if fit.any():
+        fit &= _shared(left["indexed"], right["indexed"], value) == 0
+    i, j = np.nonzero(fit)
+    sure = np.maximum(left["n"][i], right["n"][j]) <= RETAINED
+    order = np.argsort(~sure, kind="stable")
+    i, j, sure = i[order], j[order], sure[order]
+    head: dict = {}
+
+    def find(x):
+        while head.setdefault(x, x) != x:
+            head[x] = x = head[head[x]]
+        return x
+
+    take = np.zeros(len(i), bool)
+    for k, (c, d, certain) in enumerate(zip(left["component"][i].tolist(), right["component"][j].tolist(), sure.tolist())):
+        c, d = find(c), find(d)
+        take[k] = c != d
+        if certain:
+            head[c] = d
+    ids, others = left["id"][i[take]], right["id"][j[take]]
+    return np.minimum(ids, others), np.maximum(ids, others), sure[take]
 
 
 def _members(block: pa.StructArray) -> dict:
@@ -224,14 +251,6 @@ def _members(block: pa.StructArray) -> dict:
     return out
 
 
-def _hidden(members: dict) -> np.ndarray:
-    """Values of each member's set that fell together with another in its sketch, where the sketch holds the whole set."""
-    bounds, values = members["sketch"]
-    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    distinct = np.bincount(np.unique(of.astype(np.int64) << 32 | values.astype(np.int64) & 0xFFFFFFFF) >> 32, minlength=len(bounds) - 1)
-    return np.maximum(members["n"] - distinct, 0)
-
-
 def _shared(x, y, below: int | None = None) -> np.ndarray:
     """Number of values that each list of ``x`` shares with each of ``y``, of those under ``below``."""
     common = np.intersect1d(x[1], y[1])
@@ -258,24 +277,30 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     """
     if percent < 80:
         raise ValueError("the sketches are sized for thresholds of 80 percent and more")
-    drawn = staged(sketches(df, width, key, text), "sketches")
-    classes = staged(drawn.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id")), "classes")
-    heads = staged(drawn.join(classes.select("id"), "id", "left_semi").select("id", "n", "indexed", "sketch"), "heads")
+    wide = folder_within(df.sparkSession, "sketches")
+    with staged_in(wide):
+        whole = staged(sketches(df, width, key, text), "sketches")
+    drawn = staged(whole.drop("sketch"), "drawn")
+    real = "n > 0 and id is not null"
+    classes = staged(drawn.where(real).groupBy("d1", "d2", "n").agg(F.min("id").alias("id")), "classes")
+    copies = staged(drawn.where(real).select("id").distinct().join(classes.select("id"), "id", "left_anti").withColumnRenamed("id", "doc"), "copies")
+    some, none = possibly_in(whole.where(real).select("id", "n", "sketch"), copies)
+    heads = some.join(copies, some["id"] == copies["doc"], "left_anti").union(none)
+    held = staged(_lists(heads), "lists")
+    listed = staged(held.select(F.col("id").alias("doc")).distinct(), "listed")
+    some, _ = possibly_in(heads.select("id", "sketch"), listed)
+    near = staged(some.join(listed, some["id"] == listed["doc"], "left_semi"), "near")
+    discard(df.sparkSession, wide)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    held = staged(_distinct_lists(staged(_rare_lists(heads), "rare")), "lists")
-    links, named = None, held.select("value", "id", "n", F.col("id").alias("component"))
-    for turn in range(HUB_ROUNDS):
-        stars = staged(_stars(named, turn, percent), "stars")
-        new = staged(_verified(_likely(stars, heads, percent), texts, width, percent), "links")
-        # What earlier rounds linked is settled, so their stars stand for it.
-        merged = components(new if links is None else links.union(new))
-        links = merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        named = held.join(merged, held["id"] == merged["node"], "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
-        named = staged(named, "named")
-        if new.count() < HUB_YIELD * stars.count():
-            break
-    more = _verified(_across(named, heads, percent), texts, width, percent)
-    found = components(links.union(more))
+    pairs = staged(_first_pairs(held, percent), "pairs")
+    found = components(_verified(_likely(pairs, near, percent), texts, width, percent))
+    long = held.where(f"members > {SHORT}").drop("members")
+    named = staged(long.join(found, long["id"] == found["node"], "left").select("value", "id", "n", F.coalesce("component", "id").alias("component")), "named")
+    per = staged(_open_lists(named), "several")
+    if not per.isEmpty():
+        # What the first pairs linked is settled, so their stars stand for it.
+        more = _verified(_across(named, per, near, percent), texts, width, percent)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.join(found, classes["id"] == found["node"], "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
     out = drawn.join(named, ["d1", "d2", "n"], "left")
     component = F.coalesce("component_id", "id")

@@ -375,3 +375,25 @@ def test_near_duplicates_go_whatever_the_packing_of_files(spark, tmp_path, monke
     finally:
         spark.conf.set(size, before)
     assert left == rows(spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string"))
+
+
+def test_near_copies_always_share_a_run():
+    """Sets of any size at the threshold have a value in common, those that only share frequent shingles none."""
+    rng = np.random.default_rng(5)
+
+    def values(shingles):
+        held = np.sort(shingles)[:neardup.RETAINED]
+        return set(neardup.run_values(np.array([0, len(held)]), held, np.array([len(shingles)]))[0].tolist())
+
+    for size in [*range(4, 100), 150, 250, 400]:
+        for _ in range(5):
+            one = rng.choice(1 << 54, size, replace=False)
+            gone = rng.integers(0, size // 5 + 1)
+            more = rng.integers(0, (size - gone) * 5 // 4 - size + 1) if (size - gone) * 5 // 4 >= size else 0
+            other = np.append(rng.permutation(one)[gone:], rng.choice(1 << 54, more))
+            if 100 * (size - gone) >= 80 * (size + more):
+                assert values(one) & values(other)
+    frequent = rng.choice(1 << 54, 30)
+    alone = [values(np.append(frequent, rng.choice(1 << 54, 300))) for _ in range(60)]
+    met = sum(bool(a & b) for i, a in enumerate(alone) for b in alone[:i])
+    assert met < 0.05 * 60 * 59 / 2  # by single hashes all of them meet
