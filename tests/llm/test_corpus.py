@@ -397,3 +397,28 @@ def test_near_copies_always_share_a_run():
     alone = [values(np.append(frequent, rng.choice(1 << 54, 300))) for _ in range(60)]
     met = sum(bool(a & b) for i, a in enumerate(alone) for b in alone[:i])
     assert met < 0.05 * 60 * 59 / 2  # by single hashes all of them meet
+
+
+def test_links_of_a_block_connect_and_no_more():
+    """Blocks of near copies give fewer links than members, and unsure pairs only between what no sure link connects."""
+    rng = np.random.default_rng(6)
+    base = np.sort(rng.choice(1 << 54, 100, replace=False))
+    sets = [np.sort(np.append(np.delete(base, i), rng.integers(1 << 54))) for i in range(100)]
+
+    def block(sets, n, components):
+        size = len(sets)
+        bounds = np.append(0, np.cumsum([len(s) for s in sets]))
+        return {"id": np.arange(size), "component": np.array(components), "n": np.array(n), "is_main": np.zeros(size, bool),
+                "sketch": (bounds, np.concatenate(sets)), "indexed": (np.arange(size + 1), np.full(size, 7))}
+
+    whole = block(sets, [len(s) for s in sets], range(100))
+    a, b, sure = neardup.links_between(whole, whole, 7, 80)
+    assert sure.all() and (a < b).all() and len(a) == 99
+    of = np.arange(100)
+    for x, y in zip(a, b):
+        of[of == of[x]] = of[y]
+    assert len(set(of)) == 1
+    large = block(sets, [300] * 100, range(100))  # not held whole: all of them are to be verified
+    large["sketch"] = whole["sketch"]
+    a, b, sure = neardup.links_between(large, large, 7, 80)
+    assert not sure.any()
