@@ -9,7 +9,9 @@ table back to bytes; a character that several tokens share is read when its last
 
 Texts are handled whole. Texts of over ``SEGMENT`` letters are encoded in segments, cut before a
 space that follows a letter or digit, where every split pattern of this family ends a match; this
-bounds memory and changes no id. Null reads as empty, empty texts give no ids, equal texts give equal
+bounds memory and changes no id. Where no offsets are asked for, texts are cut before every space that
+follows no white space, since no match goes on there either, and each different piece of a batch is
+encoded once; a worker keeps the ids of short pieces. Null reads as empty, empty texts give no ids, equal texts give equal
 ids, repeated rows stay rows of their own, null keys stay null, empty tables give empty results.
 Extra columns are ignored. Special tokens do not exist: their letters are ordinary text. Bytes that
 are no UTF-8 decode to replacement characters in ``text`` and stay as they are in ``bytes``.
@@ -22,6 +24,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,6 +37,10 @@ from .text import map_blocks, ragged
 
 SEGMENT = 1 << 18
 CUT = re.compile(r"(?<=\w) ")
+AFTER_SPACE = re.compile(r"\s ")
+PIECES = re.compile(r"(?<=\S) ")
+KEPT = 1 << 19  # pieces whose ids a worker keeps, then it starts anew; this changes speed only
+KEPT_LETTERS = 64  # in a piece that is kept
 
 
 def byte_characters() -> list[str]:
@@ -96,9 +103,39 @@ class Codec:
         self.lengths = np.array([len(p) for p in pieces], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.kept: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        # All pieces but the first of a text begin with the space that is left out here.
+        cut = [PIECES.split(text) if AFTER_SPACE.search(text) else text.split(" ") for text in texts]
+        opening = [pieces.pop(0) for pieces in cut]
+        if len(self.kept) >= KEPT:
+            self.kept.clear()
+        new = set().union(*cut).difference(self.kept)
+        known = self._pieces([" " + p for p in new] + opening)
+        self.kept |= {p: known[" " + p] for p in new if len(p) < KEPT_LETTERS}
+        long = {p: known[" " + p] for p in new if len(p) >= KEPT_LETTERS}
+        kept = self.kept
+        return [known[first] + b"".join([long[p] if p in long else kept[p] for p in pieces] if long else map(kept.__getitem__, pieces))
+                for first, pieces in zip(opening, cut)]
+
+    def _pieces(self, texts: list[str]) -> dict[str, bytes]:
+        """Ids of each different text, encoded in batches of about ``SEGMENT`` letters."""
+        known, batch, total = {}, [], 0
+        for text in dict.fromkeys(texts):
+            batch.append(text)
+            total += len(text)
+            if total >= SEGMENT:
+                known |= self._encoded(batch)
+                batch, total = [], 0
+        return known | self._encoded(batch)
+
+    def _encoded(self, batch: list[str]) -> dict[str, bytes]:
+        return {p: struct.pack(f"<{len(x)}I", *x.ids) for p, x in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))}
 
-    def encode(self, texts: list[str], offsets: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of each text, and the first and the end code point of each id (none where not asked for)."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of each text, and the first and the end code point of each id."""
         out: list[list] = [[] for _ in texts]
         batch: list[tuple[int, int, str]] = []
         total = 0
@@ -106,14 +143,14 @@ class Codec:
             batch.append((i, at, segment))
             total += len(segment)
             if total >= SEGMENT:
-                self._encode(batch, out, offsets)
+                self._encode(batch, out)
                 batch, total = [], 0
-        self._encode(batch, out, offsets)
+        self._encode(batch, out)
         return [tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, np.int64), np.zeros((0, 2), np.int64)) for parts in out]
 
-    def _encode(self, batch: list[tuple[int, int, str]], out: list[list], offsets: bool) -> None:
+    def _encode(self, batch: list[tuple[int, int, str]], out: list[list]) -> None:
         for (i, at, _), found in zip(batch, self.tokenizer.encode_batch([s for _, _, s in batch], add_special_tokens=False)):
-            spans = np.array(found.offsets if offsets else [], np.int64).reshape(-1, 2) + at
+            spans = np.array(found.offsets, np.int64).reshape(-1, 2) + at
             out[i].append((np.array(found.ids, np.int64), spans))
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -207,11 +244,11 @@ def token_digests(df: DataFrame, path: str, pattern: str, text: str = "text", ke
     def run(batch):
         codec = _codec(shared.value)
         for i, j, texts in _texts(batch.column(1)):
-            ids = [x for x, _ in codec.encode(texts, offsets=False)]
+            ids = codec.ids(texts)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0)[i:j], pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids])],
+                batch.column(0)[i:j], pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                pa.array([hashlib.sha256(codec.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in ids])],
                 ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -264,3 +264,21 @@ def test_periodic_query(spark, tmp_path):
         assert tuple(got[key]) == (key, len(found), *best, best[1] and 1000 * best[1] // best[2],
                                    sha("".join(f"{s},{n},{q}\n" for s, n, q in found)), sha(collapsed(words, found)))
     assert any(r["n_runs"] for r in got.values())
+
+
+def test_each_piece_is_encoded_once(codec, library, monkeypatch):
+    """Ids as the library has them, whatever the white space; the tokenizer sees a piece of a batch once, and kept ones not again."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["word", "naïve", "x_", "12", "'s", " ", "  ", "\n", "\t ", "\u3000", "!", "日本", "a" * 70, "\u0301"]) for _ in range(60)) for _ in range(200)]
+    texts += ["", " ", "a   b", "a \n  b", "_  _ x", "one two one two"]
+    want = [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(codec, "kept", {})
+    assert codec.ids(texts) == want
+    seen = []
+    encoded = codec._encoded
+    monkeypatch.setattr(codec, "_encoded", lambda batch: seen.extend(batch) or encoded(batch))
+    assert codec.ids(["new words and new words"] * 50) == [np.array(library.encode_ordinary("new words and new words"), "<u4").tobytes()] * 50
+    assert sorted(seen) == [" and", " new", " words", "new"]
+    monkeypatch.setattr(bytelevel, "KEPT", 3)  # started anew at every call
+    assert codec.ids(texts) == want
+    assert all(len(p) < bytelevel.KEPT_LETTERS for p in codec.kept)
