@@ -7,10 +7,10 @@
    anchor, so where no other context has that stretch, no window with it repeats (``shared_parts``). What
    is left makes blocks; each gets its Burrows-Wheeler transform (rotations of its strings, sorted).
 3. A shard merges the transforms of its blocks by interleave refinement: one vector says from which
-   block each place of the merged order comes. A round reads the blocks' symbols (two bytes at once)
-   in that order and deals the vector out again by symbol, stably; after d rounds the order is right
-   for the first 2 d bytes, and the boundaries seen so far tell which neighbours share them. After 100
-   rounds the runs without a boundary are the repeated intervals. No suffix is sorted again.
+   block each place of the merged order comes. A round reads the blocks' symbols (four bytes at once, by
+   their rank in the shard; two where there are over 65,536 different ones) in that order and deals the
+   vector out again by symbol, stably; after d rounds the order is right for the first 4 d bytes, and the
+   boundaries seen so far tell which neighbours share them. After 50 rounds the runs without a boundary are the repeated intervals. No suffix is sorted again.
 
 Anchors with very many different contexts would overfill a shard; their windows are compared by two
 64-bit hashes instead, as rows that Spark spreads and counts on the map side. Nothing is left out.
@@ -38,6 +38,7 @@ FOOTPRINT = 64
 SHARD_CONTEXTS = 500  # on average
 BLOCK_CONTEXTS = 128
 PIECES = 8
+RANKS = 1 << 16
 CROWDED = 1_000  # different contexts under one anchor beyond which windows are compared as rows
 
 
@@ -56,8 +57,8 @@ def byte_groups(offsets: np.ndarray, data: np.ndarray, window: int = WINDOW, foo
     return groups(keys, bits, offsets, window, footprint, text, Substrings(data, 1))
 
 
-def transform(strings: list[bytes], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform of a block: the two symbols before each sorted rotation, and where it starts.
+def transform(strings: list[bytes], depth: int = WINDOW, read: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform of a block: the ``read`` (two or four) symbols before each sorted rotation, and where it starts.
 
     Each string ends with symbol 255, which no text holds, and turns around on its own. Rotations alike
     for ``depth`` symbols and more may stand in any order.
@@ -68,39 +69,48 @@ def transform(strings: list[bytes], depth: int = WINDOW) -> tuple[np.ndarray, np
     base = np.repeat(ends - lengths, lengths)
     size = np.repeat(lengths, lengths)
     place = np.arange(len(text)) - base
-    rank, step = text, 1
+    key = np.zeros(len(text), U64)
+    for k in range(8):
+        key = key << U64(8) | text[base + (place + k) % size].astype(U64)
+    step = 8
     while True:
-        key = rank * (len(text) + 256) + rank[base + (place + step) % size]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
         rank = np.empty(len(text), np.int64)
         rank[order] = new
-        step *= 2
         if step >= depth or new[-1] == len(text) - 1:
             break
-    before = text[base + (place - 2) % size] << 8 | text[base + (place - 1) % size]
-    return before[order].astype(np.uint16), order
+        key = rank * len(text) + rank[base + (place + step) % size]
+        step *= 2
+    before = np.zeros(len(text), np.int64)
+    for k in range(read, 0, -1):
+        before = before << 8 | text[base + (place - k) % size]
+    return before[order].astype(np.uint16 if read == 2 else np.uint32), order
 
 
-def merge(transforms: list[np.ndarray], strings: list[np.ndarray], valid: list[np.ndarray], depth: int = WINDOW) -> np.ndarray:
+def merge(transforms: list[np.ndarray], strings: list[np.ndarray], valid: list[np.ndarray], depth: int = WINDOW, read: int = 2) -> np.ndarray:
     """Whether each row of the blocks, one block after the other, is alike with another valid row for ``depth`` symbols.
 
-    ``strings`` numbers the string of each row, ``valid`` marks the rotations that start a window. Two
-    symbols settle per round. Strings without a valid row that is alike with another so far can take no
+    ``strings`` numbers the string of each row, ``valid`` marks the rotations that start a window. ``read``
+    symbols, which ``depth`` is a multiple of, settle per round. Strings without a valid row that is alike with another so far can take no
     part any more and leave together with all their rotations.
     """
     symbols, owner, starts = (np.concatenate(x) for x in (transforms, strings, valid))
+    if read > 2:
+        ranks, number = np.unique(symbols, return_inverse=True)
+        # 16 bits are sorted in linear time; the last two symbols stand in the low ones.
+        symbols, read = (number.astype(np.uint16), read) if len(ranks) <= RANKS else (symbols.astype(np.uint16), 2)
     source = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
     row = np.arange(len(symbols))
     alike = np.zeros(len(symbols), bool)
     interval = np.zeros(len(symbols), np.int32)
-    for done in range(2, depth + 1, 2):
+    for done in range(read, depth + 1, read):
         # Each block's symbols are read in their own order, in the order of the merge so far.
         own = np.argsort(source, kind="stable")
-        read = np.empty_like(symbols)
-        read[own] = symbols
-        deal = np.argsort(read, kind="stable")
-        dealt, was = read[deal], interval[deal]
+        seen = np.empty_like(symbols)
+        seen[own] = symbols
+        deal = np.argsort(seen, kind="stable")
+        dealt, was = seen[deal], interval[deal]
         source = source[deal]
         interval = np.zeros(len(deal), np.int32)
         np.cumsum((dealt[1:] != dealt[:-1]) | (was[1:] != was[:-1]), out=interval[1:])
@@ -127,8 +137,9 @@ def merge(transforms: list[np.ndarray], strings: list[np.ndarray], valid: list[n
 def repeated_starts(shard: list[list[bytes]], window: int = WINDOW) -> list[list[np.ndarray]]:
     """For each string of each block, the starts of the windows that occur elsewhere in the shard; ``window`` is even."""
     transforms, strings, valid, orders, count = [], [], [], [], 0
+    read = 2 if window % 4 else 4
     for block in shard:
-        symbols, order = transform(block, window)
+        symbols, order = transform(block, window, read)
         lengths = np.array([len(s) + 1 for s in block])
         number = np.repeat(np.arange(len(block)), lengths)
         last = np.repeat(np.cumsum(lengths) - 1 - window, lengths)  # the last start of a window in each string
@@ -137,7 +148,7 @@ def repeated_starts(shard: list[list[bytes]], window: int = WINDOW) -> list[list
         valid.append((np.arange(len(number)) <= last)[order])
         orders.append(order)
         count += len(block)
-    alike = merge(transforms, strings, valid, window)
+    alike = merge(transforms, strings, valid, window, read)
     out, at = [], 0
     for block, order in zip(shard, orders):
         again = np.zeros(len(order), bool)

@@ -422,3 +422,24 @@ def test_links_of_a_block_connect_and_no_more():
     large["sketch"] = whole["sketch"]
     a, b, sure = neardup.links_between(large, large, 7, 80)
     assert not sure.any()
+
+
+def test_merge_of_four_symbols_a_round(monkeypatch):
+    """The same windows as by plain search, whether four symbols are read by rank or two, and half the rounds for four."""
+    rng = np.random.default_rng(12)
+    base = bytes(rng.integers(97, 101, 700).tolist())
+    strings = [base[i:i + 320] for i in range(0, 380, 45)] + [bytes(rng.integers(97, 123, 260).tolist()) for _ in range(4)] + [b"a" * 230, b"ab" * 120]
+    shard, window = [strings[:5], strings[5:9], strings[9:]], 200
+    seen: dict = {}
+    for s in strings:
+        for i in range(len(s) - window + 1):
+            seen[s[i:i + window]] = seen.get(s[i:i + window], 0) + 1
+    want = [[i for i in range(len(s) - window + 1) if seen[s[i:i + window]] > 1] for s in strings]
+    sorts = []
+    sort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **kw: sorts.append(x.dtype) or sort(x, **kw))
+    for ranks in (1 << 16, 4):
+        monkeypatch.setattr(bwt, "RANKS", ranks)
+        before = len(sorts)
+        assert [at.tolist() for block in bwt.repeated_starts(shard, window) for at in block] == want
+        assert (len(sorts) - before < 150) == (ranks > 4)
