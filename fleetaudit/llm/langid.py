@@ -3,7 +3,7 @@
 Each letter has a random vector of +1 and -1. A trigram binds its letters' vectors, each rotated by
 its place, by multiplication; a document bundles (adds) its trigrams; a language's prototype bundles
 its documents. A document goes to the prototype of largest cosine. Trigrams are counted per block of
-documents first, so that a block costs one matrix product.
+documents first, so that a block costs few matrix products.
 
 Prototypes are sums, kept per task and added up by Spark: as many numbers as languages times
 ``DIMENSIONS`` reach the driver, whatever the number of documents.
@@ -25,6 +25,7 @@ from .text import blocks, extended, map_blocks, sums_by, text_bytes
 
 DIMENSIONS = 512
 CLASSES = 128  # letters: a to z, Latin letters of two bytes, all others by remainder
+DOCUMENTS, TRIGRAMS = 64, 1 << 10  # counted, and made vectors of, at a time
 UNDETERMINED = "und"
 SHARPNESS = 20.0  # of the score: softmax of so many times the cosines
 
@@ -70,10 +71,22 @@ def profiles(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     grams = np.flatnonzero(seen)
     number = np.zeros(CLASSES ** 3, np.int32)
     number[grams] = np.arange(len(grams))
-    counts = np.bincount(doc * len(grams) + number[code], minlength=n * len(grams)).astype(np.float32).reshape(n, len(grams))
+    which = number[code]
+    del owner, place, row, middle, code, seen, number, points, kinds
+    # Counts of some documents at a time, vectors of some trigrams: whole numbers, so their sums do not depend on the cut.
+    counts = np.empty((n, len(grams)), np.float32)
+    for i in range(0, n, DOCUMENTS):
+        j = min(i + DOCUMENTS, n)
+        lo, hi = np.searchsorted(doc, (i, j))
+        counts[i:j] = np.bincount((doc[lo:hi] - i) * len(grams) + which[lo:hi], minlength=(j - i) * len(grams)).reshape(j - i, len(grams))
     a, b, c = _letters()
-    vectors = a[grams // CLASSES ** 2] * b[grams // CLASSES % CLASSES] * c[grams % CLASSES]
-    return counts @ vectors, has
+    total = np.zeros((n, DIMENSIONS), np.float32)
+    for i in range(0, len(grams), TRIGRAMS):
+        part = grams[i:i + TRIGRAMS]
+        vectors = a[part // CLASSES ** 2] * b[part // CLASSES % CLASSES]
+        vectors *= c[part % CLASSES]
+        total += counts[:, i:i + TRIGRAMS] @ vectors
+    return total, has
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:

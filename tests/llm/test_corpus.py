@@ -3,16 +3,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fleetaudit.llm import bpe, bwt, fingerprint, langid, mixing, mtree, neardup, quality, recompress, toxicity
-from fleetaudit.llm.text import Substrings
+from fleetaudit.llm.text import Substrings, map_blocks
 from fleetaudit.llm.queries import QUERIES, tokenizer_path
+from fleetaudit.session import prepare
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -443,3 +446,31 @@ def test_merge_of_four_symbols_a_round(monkeypatch):
         before = len(sorts)
         assert [at.tolist() for block in bwt.repeated_starts(shard, window) for at in block] == want
         assert (len(sorts) - before < 150) == (ranks > 4)
+
+
+def test_texts_reach_python_by_bytes(spark):
+    """Batches of long texts are bounded by their bytes, whatever the number of rows."""
+    def size(batch):
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    df = prepare(spark).range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    found = rows(map_blocks(df, "n long, size long", size))
+    assert sum(n for n, _ in found) == 3000
+    assert max(size for _, size in found) < 5_000_000  # 30 MB in one batch by rows
+
+
+def test_profiles_of_a_block_take_little_memory():
+    """A block with every trigram of 26 letters: some 18 thousand vectors, which never stand side by side."""
+    data = np.random.default_rng(7).integers(97, 123, 1 << 19).astype(np.uint8)
+    offsets = np.linspace(0, len(data), 257).astype(np.int64)
+    langid.profiles(offsets[:2], data[:offsets[1]])
+    tracemalloc.start()
+    try:
+        vectors, has = langid.profiles(offsets, data)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert has.all() and peak < 80_000_000
+    for i in (0, 100, 255):
+        alone, _ = langid.profiles(offsets[i:i + 2] - offsets[i], data[offsets[i]:offsets[i + 1]])
+        assert (alone[0] == vectors[i]).all()
