@@ -9,9 +9,11 @@
    from the last hash to the first) one always exists; among the ``INDEXED`` smallest of larger sets none does
    with a chance of less than one in a hundred million.
 3. Members of a list of up to ``SHORT`` are compared with each other. A longer list (thousands of near
-   copies) compares each member with one hub; what these pairs link is contracted, and the lists that still
-   hold several components compare blocks of members across components, never within one; a pair counts
-   in the smallest value that indexes both.
+   copies) compares each member with one hub, its smallest id; what these pairs link is contracted. Near copies share
+   nearly all of their lists, and with them the hub: lists of one hub go on as one group, which has each member once (a hub
+   has at most ``INDEXED`` lists, so that the members to compare are at most so many times those of its longest list).
+   Groups that still hold several components compare blocks of members across components, never within one; a pair
+   counts in the smallest hub that groups both.
 4. Sets that their sketches (192 values) hold whole are settled by them; a block gives no more of such links than
    connect its components. Other pairs whose sketches share less than the need go, the rest are verified on
    their full shingle sets. Verified pairs make components.
@@ -117,17 +119,18 @@ def full_sets(df: DataFrame, width: int) -> DataFrame:
 
 
 def _lists(heads: DataFrame) -> DataFrame:
-    """``value``, ``id``, ``n``, ``members``: the lists of several members; of those with the same members only that of the smallest value.
+    """``value``, ``id``, ``n``, ``members``, ``hub``, ``hub_n``: the lists of several members; of those with the same members only that of the smallest value.
 
-    A pair's smallest common value always stays: a list of the same members under a smaller value would hold the pair too.
+    ``hub``: the smallest id of the list, ``hub_n``: its set size. A pair's smallest common value always stays: a list of the same members under a smaller value would hold the pair too.
     """
     rows = _runs(heads)
     # Written, so that both sides of the join are plain shuffles and long lists are split.
     several = staged(rows.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value"), "values")
     rows = staged(rows.join(several, "value", "left_semi"), "rows")
     mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
-    per = rows.groupBy("value").agg(F.count("*").alias("members"), *mark)
-    keep = staged(per.groupBy("members", "mark1", "mark2").agg(F.min("value").alias("value")).select("value", "members"), "kept")
+    per = rows.groupBy("value").agg(F.count("*").alias("members"), F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), *mark)
+    keep = per.groupBy("members", "mark1", "mark2").agg(*[F.min(c).alias(c) for c in ("value", "hub", "hub_n")])
+    keep = staged(keep.select("value", "members", "hub", "hub_n"), "kept")
     return rows.join(keep, "value")
 
 
@@ -136,12 +139,11 @@ def _sizes_fit(a, b, percent: int):
 
 
 def _first_pairs(held: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) whose sizes leave the threshold possible: all of the short lists, those with the smallest id of longer ones."""
+    """Pairs (a, b, na, nb) whose sizes leave the threshold possible: all of the short lists, those with the hub of longer ones."""
     short = held.where(f"members <= {SHORT}").select("value", "id", "n")
     each = short.toDF("value", "a", "na").join(short.toDF("value", "b", "nb"), "value").where(F.col("a") < F.col("b"))
-    long = held.where(f"members > {SHORT}")
-    hubs = staged(long.groupBy("value").agg(F.min(F.struct("id", "n")).alias("low")).select("value", F.col("low.id").alias("a"), F.col("low.n").alias("na")), "hubs")
-    stars = long.select("value", F.col("id").alias("b"), F.col("n").alias("nb")).join(hubs, "value").where("a <> b")
+    long = held.where(f"members > {SHORT} and id <> hub")
+    stars = long.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"))
     fit = [x.where(_sizes_fit("na", "nb", percent)).select("a", "b", "na", "nb") for x in (each, stars)]
     return fit[0].union(fit[1]).distinct()
 
@@ -160,57 +162,57 @@ def _verified(likely: DataFrame, texts: DataFrame, width: int, percent: int) ->
     """The pairs (a, b) that are sure or whose full sets reach the threshold."""
     likely = staged(likely, "likely")
     unsure = likely.where("not sure").select("a", "b")
-    wanted = staged(unsure.select(F.col("a").alias("id")).union(unsure.select("b")).distinct(), "wanted")
-    some = possibly_in(texts, wanted.select(F.col("id").alias("doc")))[0]
-    sets = staged(full_sets(some.join(wanted, "id", "left_semi"), width), "sets")
+    wanted = unsure.select(F.explode(F.array("a", "b")).alias("doc"))
+    some = possibly_in(texts, wanted)[0]
+    sets = staged(full_sets(some.join(wanted.distinct(), some["id"] == F.col("doc"), "left_semi"), width), "sets")
     both = unsure.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     reached = both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
     return staged(reached.union(likely.where("sure").select("a", "b")), "links")
 
 
-def _open_lists(named: DataFrame) -> DataFrame:
-    """``value``, ``main`` (the largest component) and ``deal`` (into how many blocks its members go) of lists that hold several components."""
-    sizes = named.groupBy("value", "component").agg(F.count("*").alias("n"))
-    per = sizes.groupBy("value").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1")
-    return per.select("value", F.col("most.component").alias("main"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("deal"))
+def _open_groups(named: DataFrame) -> DataFrame:
+    """``hub``, ``main`` (the largest component) and ``deal`` (into how many blocks its members go) of groups that hold several components."""
+    sizes = named.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("hub").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1")
+    return per.select("hub", F.col("most.component").alias("main"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("deal"))
 
 
 def _across(named: DataFrame, per: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, sure) of different components that share a list and whose sketches overlap enough.
+    """Pairs (a, b, sure) of different components that share a group and whose sketches overlap enough.
 
-    ``named``: value, id, n, component; ``per``: see ``_open_lists``. A list of up to ``BLOCK_MEMBERS`` members is one block and
+    ``named``: hub, id, n, component; ``per``: see ``_open_groups``. A group of up to ``BLOCK_MEMBERS`` members is one block and
     meets itself. In a longer one the largest component is dealt into blocks of its own, the other members
     into others; two blocks of the largest component never meet. Of the sure pairs of two blocks enough
     come out to connect the components that they connect, and no unsure one between those.
     """
-    held = staged(named.join(per, "value"), "open")
-    lists_of = held.groupBy("id").agg(F.collect_list("value").alias("indexed"))  # a class has at most ``INDEXED``
-    facts = near.select("id", "sketch").join(lists_of, "id")
+    held = staged(named.join(per, "hub"), "open")
+    groups_of = held.groupBy("id").agg(F.collect_set("hub").alias("indexed"))  # a class has at most ``INDEXED``
+    facts = near.select("id", "sketch").join(groups_of, "id")
     rows = held.join(facts, "id")
     rows = rows.withColumn("is_main", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("deal")).cast("int"))
     gathered = F.collect_list(F.struct("id", "component", "n", "sketch", "indexed", "is_main"))
-    short = rows.where("deal = 1").groupBy("value").agg(gathered.alias("x"))
-    # A block has about BLOCK_MEMBERS members, whatever the length of the list.
-    grouped = staged(rows.where("deal > 1").groupBy("value", "is_main", "block").agg(gathered.alias("members")), "blocks")
-    a = grouped.where("not is_main").select("value", F.col("block").alias("i"), F.col("members").alias("x"))
-    b = grouped.select("value", F.col("is_main").alias("m"), F.col("block").alias("j"), F.col("members").alias("y"))
-    met = a.join(b, "value").where("m or i <= j").select("value", "x", "y")
-    met = met.union(short.select("value", "x", F.lit(None).cast(met.schema["y"].dataType)))
+    short = rows.where("deal = 1").groupBy("hub").agg(gathered.alias("x"))
+    # A block has about BLOCK_MEMBERS members, whatever the size of the group.
+    grouped = staged(rows.where("deal > 1").groupBy("hub", "is_main", "block").agg(gathered.alias("members")), "blocks")
+    a = grouped.where("not is_main").select("hub", F.col("block").alias("i"), F.col("members").alias("x"))
+    b = grouped.select("hub", F.col("is_main").alias("m"), F.col("block").alias("j"), F.col("members").alias("y"))
+    met = a.join(b, "hub").where("m or i <= j").select("hub", "x", "y")
+    met = met.union(short.select("hub", "x", F.lit(None).cast(met.schema["y"].dataType)))
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                value = batch.column(0)[r].as_py()
+                hub = batch.column(0)[r].as_py()
                 left = _members(batch.column(1)[r].values)
                 right = _members(batch.column(2)[r].values) if batch.column(2)[r].is_valid else left
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_between(left, right, value, percent)], ["a", "b", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in links_between(left, right, hub, percent)], ["a", "b", "sure"])
 
     return met.mapInArrow(run, "a long, b long, sure boolean").distinct()
 
 
-def links_between(left: dict, right: dict, value: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids a < b of likely pairs of two blocks of the list of ``value``, and which are sure; see ``_across``."""
+def links_between(left: dict, right: dict, hub: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids a < b of likely pairs of two blocks of the group of ``hub``, and which are sure; see ``_across``."""
     one, other = left["n"][:, None], right["n"]
     fit = (100 * np.minimum(one, other) >= percent * np.maximum(one, other)) & (left["component"][:, None] != right["component"]) & ~left["is_main"][:, None]
     if fit.any():
@@ -219,7 +221,7 @@ def links_between(left: dict, right: dict, value: int, percent: int) -> tuple[np
         possible = shared >= np.floor(NEED * percent / 80 * np.minimum(np.minimum(one, other), RETAINED))
         fit &= np.where(whole, 100 * shared >= percent * (one + other - shared), possible)
     if fit.any():
-        fit &= _shared(left["indexed"], right["indexed"], value) == 0
+        fit &= _shared(left["indexed"], right["indexed"], hub) == 0
     i, j = np.nonzero(fit)
     sure = np.maximum(left["n"][i], right["n"][j]) <= RETAINED
     order = np.argsort(~sure, kind="stable")
@@ -287,16 +289,16 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     some, none = possibly_in(whole.where(real).select("id", "n", "sketch"), copies)
     heads = some.join(copies, some["id"] == copies["doc"], "left_anti").union(none)
     held = staged(_lists(heads), "lists")
-    listed = staged(held.select(F.col("id").alias("doc")).distinct(), "listed")
+    listed = held.select(F.col("id").alias("doc"))
     some, _ = possibly_in(heads.select("id", "sketch"), listed)
-    near = staged(some.join(listed, some["id"] == listed["doc"], "left_semi"), "near")
+    near = staged(some.join(listed.distinct(), some["id"] == F.col("doc"), "left_semi"), "near")
     discard(df.sparkSession, wide)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     pairs = staged(_first_pairs(held, percent), "pairs")
     found = components(_verified(_likely(pairs, near, percent), texts, width, percent))
-    long = held.where(f"members > {SHORT}").drop("members")
-    named = staged(long.join(found, long["id"] == found["node"], "left").select("value", "id", "n", F.coalesce("component", "id").alias("component")), "named")
-    per = staged(_open_lists(named), "several")
+    grouped = held.where(f"members > {SHORT}").select("hub", "id", "n").distinct()
+    named = staged(grouped.join(found, grouped["id"] == found["node"], "left").select("hub", "id", "n", F.coalesce("component", "id").alias("component")), "named")
+    per = staged(_open_groups(named), "several")
     if not per.isEmpty():
         # What the first pairs linked is settled, so their stars stand for it.
         more = _verified(_across(named, per, near, percent), texts, width, percent)

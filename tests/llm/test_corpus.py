@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fleetaudit.llm import bpe, bwt, fingerprint, langid, mixing, mtree, neardup, quality, recompress, toxicity
+from fleetaudit.llm.components import components
 from fleetaudit.llm.text import Substrings, map_blocks
 from fleetaudit.llm.queries import QUERIES, tokenizer_path
 from fleetaudit.session import prepare
@@ -474,3 +475,37 @@ def test_profiles_of_a_block_take_little_memory():
     for i in (0, 100, 255):
         alone, _ = langid.profiles(offsets[i:i + 2] - offsets[i], data[offsets[i]:offsets[i + 1]])
         assert (alone[0] == vectors[i]).all()
+
+
+def test_near_copies_are_compared_once_for_all_their_lists(spark, monkeypatch):
+    """Near copies share nearly all lists, and go to blocks under few hubs, not under each list."""
+    rng = np.random.default_rng(5)
+    base, texts = words(9, 60).split(), []
+    for i in range(120):
+        w = list(base)
+        for p in rng.integers(0, 60, i % 9):
+            w[p] = f"z{rng.integers(0, 40)}"
+        texts.append(" ".join(w))
+    df, write, held = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), neardup.staged, {}
+
+    def kept(df, name):
+        held[name] = write(df, name)
+        return held[name]
+
+    monkeypatch.setattr(neardup, "staged", kept)
+    assert rows(neardup.near_duplicates(df, 2)) == sorted(brute_near(texts, 2), key=str)
+    assert held["open"].count() < held["lists"].count() / 4
+
+
+def test_components_of_any_graph(spark):
+    """Stars, chains, rings and random edges against a search; an edge to itself joins nothing."""
+    rng = np.random.default_rng(8)
+    edges = [(5, 5), (100, 7), (7, 101), (100, 102)] + [(200 + i, 201 + i) for i in range(40)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)]
+    edges += [(500 + int(a), 500 + int(b)) for a, b in rng.integers(0, 90, (60, 2))] + [(400, 400 + i) for i in range(1, 30)] * 2
+    of = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in of:
+        for a, b in edges:
+            if a != b:
+                of[a] = of[b] = min(of[a], of[b])
+    found = rows(components(spark.createDataFrame(edges, "a long, b long")))
+    assert sorted(tuple(r) for r in found) == sorted(of.items())
