@@ -9,12 +9,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.stage import staged
+from ..functions.stage import staged_union
 from ..operators.scope import MANAGED_EDITION
 from ..operators.versions import VERSION_NAMES
 from . import performance, recoverability, reliability, security
 from .catalogue import BASE
-from .facts import Facts, union
+from .facts import Facts
 from .profiles import findings_of
 
 FAILED, PASSED, NOT_APPLICABLE, NOT_ASSESSED = "failed", "passed", "not applicable", "not assessed"
@@ -68,14 +68,14 @@ def assessment(findings: DataFrame, instances: DataFrame, members: DataFrame, ch
 
 
 def _found(f: Facts) -> list[DataFrame]:
-    """Findings of a run of all profiles, by profile; what one profile finds is not looked for again in another."""
-    backup = union(recoverability.history_rules(f), recoverability.split_chains(f), recoverability.coverage(f).where("check_id = 214"), performance.freezes(f))
-    tempdb = union(security.tempdb_encrypted(f), reliability.tempdb_files(f), performance.tempdb_layout(f, True).where("check_id = 730"), performance.resource_limits(f),
-                   performance.accelerated_recovery(f))
-    return [*(union(*findings_of(p, f)) for p in ("health", "security", "ag")), union(backup, tempdb)]
+    """Findings of a run of all profiles, by part; what one profile finds is not looked for again in another."""
+    backup = [recoverability.history_rules(f), recoverability.split_chains(f), recoverability.coverage(f).where("check_id = 214"), performance.freezes(f)]
+    tempdb = [security.tempdb_encrypted(f), reliability.tempdb_files(f), performance.tempdb_layout(f, True).where("check_id = 730"), performance.resource_limits(f),
+              performance.accelerated_recovery(f)]
+    return [*(df for p in ("health", "security", "ag") for df in findings_of(p, f)), *backup, *tempdb]
 
 
 def assess(facts: Facts) -> DataFrame:
-    """The ledger of a run of all profiles. Each profile's findings are written as distinct pairs of instance and check, then counted together."""
-    pairs = [staged(df.select("instance_id", "check_id").distinct(), "found") for df in _found(facts)]
-    return assessment(union(*pairs), facts.instances, facts.group_instances, CHECKS)
+    """The ledger of a run of all profiles. Each part's findings are written as distinct pairs of instance and check, then counted together."""
+    pairs = staged_union([df.select("instance_id", "check_id").distinct() for df in _found(facts)], "found")
+    return assessment(pairs, facts.instances, facts.group_instances, CHECKS)
