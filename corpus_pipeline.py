@@ -83,7 +83,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = prepare(spark, measured=False).read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = prepare(spark, asked_only=False).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         out, folder = stage(spark, docs, sf_dir), new_folder(spark, f"{name}-result")
         with staged_in(folder):

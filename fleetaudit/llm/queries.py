@@ -27,7 +27,7 @@ def tokenizer_path() -> str:
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = lambda spark, folder: fn(prepare(spark, measured=False), folder)
+    QUERIES[fn.__name__] = lambda spark, folder: fn(prepare(spark, asked_only=False), folder)
     return fn
 
 

@@ -8,7 +8,7 @@ from __spark_entry__ import queries
 from fleetaudit.functions.stage import staged_union
 from fleetaudit.params import AuditParams
 from fleetaudit.plans import audit
-from fleetaudit.session import GUESSED, MEASURED, prepare
+from fleetaudit.session import BROADCASTS, prepare
 from fleetaudit.sources import Fleet
 
 FOLDER = "/root/testdata/sf0.01"
@@ -27,18 +27,17 @@ def test_only_constant_tables_are_broadcast_unasked(spark, name):
     assert all("LocalTableScan" in side for side in sides) and "SortMergeJoin" in p
 
 
-def test_limit_of_broadcasts_moves_to_measured_sizes_and_back(spark):
-    prepare(spark, measured=False)
-    before = [spark.conf.get(k, None) for k in (GUESSED, MEASURED)]
+def test_limit_of_broadcasts_is_set_aside_and_back(spark):
+    prepare(spark, asked_only=False)
+    before = spark.conf.get(BROADCASTS, None)
     try:
-        spark.conf.set(GUESSED, "256k")
+        spark.conf.set(BROADCASTS, "256k")
         prepare(prepare(spark))
-        assert [spark.conf.get(k, None) for k in (GUESSED, MEASURED)] == ["-1", "256k"]
-        prepare(spark, measured=False)
-        assert [spark.conf.get(k, None) for k in (GUESSED, MEASURED)] == ["256k", None]
+        assert spark.conf.get(BROADCASTS) == "-1"
+        prepare(spark, asked_only=False)
+        assert spark.conf.get(BROADCASTS) == "256k"
     finally:
-        for k, v in zip((GUESSED, MEASURED), before):
-            spark.conf.set(k, v) if v else spark.conf.unset(k)
+        spark.conf.set(BROADCASTS, before) if before else spark.conf.unset(BROADCASTS)
 
 
 def test_staged_union_is_one_scan_of_all_rows(spark):
